@@ -20,8 +20,8 @@ def _flag(c: Column) -> Column:
 def binary_agreement(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Agreement of two 0/1 columns ``a`` and ``b``, over all rows or per key. Null counts as 0."""
     a, b = (F.coalesce(F.col(c).cast("int"), F.lit(0)) == 1 for c in ("a", "b"))
-    counts = pairs.groupBy(*(keys or [])).agg(F.count("*").alias("n"), _flag(a & b).alias("both"), _flag(~a & ~b).alias("neither"), _flag(a & ~b).alias("only_a"), _flag(~a & b).alias("only_b"))
-    extra = agreement_columns(*(F.col(c) for c in ("n", "both", "neither", "only_a", "only_b")))
+    counts = pairs.groupBy(*(keys or [])).agg(F.count("*").alias("n"), _flag(a & b).alias("both_yes"), _flag(~a & ~b).alias("neither"), _flag(a & ~b).alias("only_a"), _flag(~a & b).alias("only_b"))
+    extra = agreement_columns(*(F.col(c) for c in ("n", "both_yes", "neither", "only_a", "only_b")))
     return counts.select("*", *(c.alias(k) for k, c in extra.items()))
 
 

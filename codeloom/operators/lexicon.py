@@ -236,10 +236,10 @@ def compare_coders(rows: DataFrame, codes: list[str], a: str = "codes", b: str =
     cells = F.array(*[F.struct(F.lit(c).alias("code"), F.array_contains(sorted_set(F.col(a)), c).alias("a"), F.array_contains(sorted_set(F.col(b)), c).alias("b")) for c in codes])
     x = rows.select(F.explode(cells).alias("x")).select("x.*")
     one = lambda c: F.sum(c.cast("int"))
-    g = x.groupBy("code").agg(F.count("*").alias("n"), one(F.col("a") & F.col("b")).alias("both"), one(~F.col("a") & ~F.col("b")).alias("neither"), one(F.col("a") & ~F.col("b")).alias("only_a"), one(~F.col("a") & F.col("b")).alias("only_b"))
+    g = x.groupBy("code").agg(F.count("*").alias("n"), one(F.col("a") & F.col("b")).alias("both_yes"), one(~F.col("a") & ~F.col("b")).alias("neither"), one(F.col("a") & ~F.col("b")).alias("only_a"), one(~F.col("a") & F.col("b")).alias("only_b"))
     d = lambda c: F.col(c).cast("double")
-    p, r = F.try_divide(d("both"), d("both") + d("only_b")), F.try_divide(d("both"), d("both") + d("only_a"))
-    k = agreement_columns(*(F.col(c) for c in ("n", "both", "neither", "only_a", "only_b")))["kappa"]
+    p, r = F.try_divide(d("both_yes"), d("both_yes") + d("only_b")), F.try_divide(d("both_yes"), d("both_yes") + d("only_a"))
+    k = agreement_columns(*(F.col(c) for c in ("n", "both_yes", "neither", "only_a", "only_b")))["kappa"]
     return g.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))).withColumn("kappa", k)
 
 

@@ -50,16 +50,16 @@ _HUB = f"""WITH u AS (SELECT unit_id, framework_id, ai_codes FROM units WHERE fr
  codelist AS (SELECT unnest(['ANT-P','ANT-N','ENG-P','ENG-N','REF-P','REF-N','RES-P','RES-N']) AS code),
  cells AS (SELECT unit_id, code, list_contains(codes_a, code) AS a, list_contains(codes_b, code) AS b FROM hub CROSS JOIN codelist)"""
 
-_COUNTS = "count(*) AS n, count(*) FILTER (a AND b) AS "both", count(*) FILTER (NOT a AND NOT b) AS neither, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b"
+_COUNTS = "count(*) AS n, count(*) FILTER (a AND b) AS both_yes, count(*) FILTER (NOT a AND NOT b) AS neither, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b"
 
 
 def _kappa(source: str, key: str = "") -> str:
     k = f"{key}, " if key else ""
     group = f"GROUP BY {key}" if key else ""
     return f""", t AS (SELECT {k}{_COUNTS} FROM {source} {group}),
- p AS (SELECT *, ("both" + neither) / n::DOUBLE AS po, ("both" + only_a) / n::DOUBLE AS pa, ("both" + only_b) / n::DOUBLE AS pb FROM t),
+ p AS (SELECT *, (both_yes + neither) / n::DOUBLE AS po, (both_yes + only_a) / n::DOUBLE AS pa, (both_yes + only_b) / n::DOUBLE AS pb FROM t),
  q AS (SELECT *, pa * pb + (1 - pa) * (1 - pb) AS pe, 2 * ((pa + pb) / 2) * (1 - (pa + pb) / 2) AS pg FROM p),
- r AS (SELECT *, CASE WHEN abs(1 - pe) > 1e-12 THEN (po - pe) / (1 - pe) END AS kappa, 2 * po - 1 AS pabak, CASE WHEN abs(1 - pg) > 1e-12 THEN (po - pg) / (1 - pg) END AS ac1, abs("both" - neither) / n::DOUBLE AS prevalence, abs(only_a - only_b) / n::DOUBLE AS bias FROM q)"""
+ r AS (SELECT *, CASE WHEN abs(1 - pe) > 1e-12 THEN (po - pe) / (1 - pe) END AS kappa, 2 * po - 1 AS pabak, CASE WHEN abs(1 - pg) > 1e-12 THEN (po - pg) / (1 - pg) END AS ac1, abs(both_yes - neither) / n::DOUBLE AS prevalence, abs(only_a - only_b) / n::DOUBLE AS bias FROM q)"""
 
 
 _K6 = "round(po, 9) AS po, round(kappa, 9) AS kappa, round(pabak, 9) AS pabak, round(ac1, 9) AS ac1, round(prevalence, 9) AS prevalence, round(bias, 9) AS bias"
@@ -153,8 +153,8 @@ SQL: dict[str, str] = {
     "merged_descriptors": f"""WITH {RECORDS}, p AS (SELECT respondent, record_id, unnest(map_entries(descriptors)) AS e FROM rec WHERE respondent IS NOT NULL)
  SELECT respondent, e.key AS descriptor, coalesce(arg_min(CASE WHEN e.value <> 'unspecified' THEN e.value END, CASE WHEN e.value <> 'unspecified' THEN record_id END), 'unspecified') AS value FROM p GROUP BY 1, 2""",
     "resume": "SELECT doc_id, transcript_file FROM documents d WHERE transcript_file IS NOT NULL AND NOT EXISTS (SELECT 1 FROM records r WHERE r.transcript_file = d.transcript_file)",
-    "kappa_per_code": f"{_HUB}{_kappa('cells', 'code')} SELECT code, n, "both", neither, only_a, only_b, {_K6}, {_BAND} FROM r",
-    "kappa_pooled": f"{_HUB}{_kappa('cells')} SELECT n, "both", neither, only_a, only_b, {_K6} FROM r",
+    "kappa_per_code": f"{_HUB}{_kappa('cells', 'code')} SELECT code, n, both_yes, neither, only_a, only_b, {_K6}, {_BAND} FROM r",
+    "kappa_pooled": f"{_HUB}{_kappa('cells')} SELECT n, both_yes, neither, only_a, only_b, {_K6} FROM r",
     "exact_set": f"{_HUB} SELECT count(*) AS n, round(avg(CASE WHEN codes_a = codes_b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS exact FROM hub",
     "alpha_nominal": """WITH k AS (SELECT doc_id, verdict, count(*) AS k FROM abuse_reviews WHERE verdict IS NOT NULL GROUP BY 1, 2), u AS (SELECT doc_id, sum(k) AS m, sum(k * k) AS kk FROM k GROUP BY 1 HAVING sum(k) > 1),
  o AS (SELECT sum((m * m - kk)::DOUBLE / (m - 1)) AS d, sum(m)::DOUBLE AS n FROM u), v AS (SELECT sum(c * c) AS cc FROM (SELECT verdict, sum(k) AS c FROM k WHERE doc_id IN (SELECT doc_id FROM u) GROUP BY 1))
@@ -165,7 +165,7 @@ SQL: dict[str, str] = {
  e AS (SELECT unnest(a) AS dim_a, b FROM d), f AS (SELECT dim_a, unnest(b) AS dim_b FROM e) SELECT dim_a, dim_b, count(*) AS n FROM f GROUP BY 1, 2""",
     "polarity_confusion": f"""{_HUB}, d AS (SELECT unit_id, codes_a, codes_b, unnest(list_distinct(list_intersect(list_transform(codes_a, lambda x: split_part(x, '-', 1)), list_transform(codes_b, lambda x: split_part(x, '-', 1))))) AS dimension FROM hub),
  e AS (SELECT dimension, list_filter(codes_a, lambda x: split_part(x, '-', 1) = dimension) = list_filter(codes_b, lambda x: split_part(x, '-', 1) = dimension) AS same FROM d) SELECT dimension, count(*) FILTER (same) AS agree, count(*) FILTER (NOT same) AS conflict FROM e GROUP BY 1""",
-    "dimension_agreement": f"""{_HUB}, dims AS (SELECT unnest(['ANT','ENG','REF','RES']) AS code), dcells AS (SELECT unit_id, code, len(list_filter(codes_a, lambda x: split_part(x, '-', 1) = code)) > 0 AS a, len(list_filter(codes_b, lambda x: split_part(x, '-', 1) = code)) > 0 AS b FROM hub CROSS JOIN dims){_kappa('dcells', 'code')} SELECT code, n, "both", neither, only_a, only_b, round(kappa, 9) AS kappa FROM r""",
+    "dimension_agreement": f"""{_HUB}, dims AS (SELECT unnest(['ANT','ENG','REF','RES']) AS code), dcells AS (SELECT unit_id, code, len(list_filter(codes_a, lambda x: split_part(x, '-', 1) = code)) > 0 AS a, len(list_filter(codes_b, lambda x: split_part(x, '-', 1) = code)) > 0 AS b FROM hub CROSS JOIN dims){_kappa('dcells', 'code')} SELECT code, n, both_yes, neither, only_a, only_b, round(kappa, 9) AS kappa FROM r""",
     "disagreements": f"""{_HUB}, x AS (SELECT unit_id, codes_a, codes_b, list_sort(list_distinct(list_transform(codes_a, lambda x: split_part(x, '-', 1)))) AS da, list_sort(list_distinct(list_transform(codes_b, lambda x: split_part(x, '-', 1)))) AS db FROM hub WHERE codes_a <> codes_b)
  SELECT unit_id, CASE WHEN len(codes_a) = 0 OR len(codes_b) = 0 THEN 'presence' WHEN da = db THEN 'polarity' ELSE 'dimension' END AS kind, array_to_string(list_filter(codes_a, lambda x: NOT list_contains(codes_b, x)), '/') AS only_a, array_to_string(list_filter(codes_b, lambda x: NOT list_contains(codes_a, x)), '/') AS only_b FROM x""",
     "frame_roles": "SELECT speaker_role AS role, count(*) AS n, speaker_role = 'respondent' AS in_frame FROM units GROUP BY 1",

@@ -353,12 +353,12 @@ _KAPPA = ("po", "kappa", "pabak", "ac1", "prevalence", "bias")
 @query
 def kappa_per_code(spark: SparkSession, d: str) -> DataFrame:
     k = agreement.with_bands(agreement.per_code(_hub(spark, d), CODES))
-    return k.select("code", "n", "both", "neither", "only_a", "only_b", *[r9(c) for c in _KAPPA], "band", "paradox")
+    return k.select("code", "n", "both_yes", "neither", "only_a", "only_b", *[r9(c) for c in _KAPPA], "band", "paradox")
 
 
 @query
 def kappa_pooled(spark: SparkSession, d: str) -> DataFrame:
-    return agreement.pooled(_hub(spark, d), CODES).select("n", "both", "neither", "only_a", "only_b", *[r9(c) for c in _KAPPA])
+    return agreement.pooled(_hub(spark, d), CODES).select("n", "both_yes", "neither", "only_a", "only_b", *[r9(c) for c in _KAPPA])
 
 
 @query
@@ -390,7 +390,7 @@ def polarity_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dimension_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return agreement.dimension_agreement(_hub(spark, d), ["ANT", "ENG", "REF", "RES"]).select("code", "n", "both", "neither", "only_a", "only_b", r9("kappa"))
+    return agreement.dimension_agreement(_hub(spark, d), ["ANT", "ENG", "REF", "RES"]).select("code", "n", "both_yes", "neither", "only_a", "only_b", r9("kappa"))
 
 
 @query
@@ -401,7 +401,7 @@ def disagreements(spark: SparkSession, d: str) -> DataFrame:
 @query
 def adjudicated(spark: SparkSession, d: str) -> DataFrame:
     """Every third disagreement left open, the others decided as both."""
-    rows = _hub(spark, d).withColumn("decision", F.when(F.crc32(F.col("unit_id")) % 3 > 0, "both")).withColumn("custom_codes", F.array().cast("array<string>"))
+    rows = _hub(spark, d).withColumn("decision", F.when(F.crc32(F.col("unit_id")) % 3 > 0, "both_yes")).withColumn("custom_codes", F.array().cast("array<string>"))
     return marks.adjudicate(rows).select("unit_id", F.array_join("codes", "/").alias("codes"), "undecided")
 
 
