@@ -50,7 +50,8 @@ def discover_terms_en(texts: DataFrame, text: str = "text", most: int = 4, least
     map-side aggregation. ``top`` is the report's length (None: all).
     """
     sents = texts.filter(F.col(text).isNotNull()).select(F.explode(words(F.col(text))).alias("w")).filter(F.size("w") > 0)
-    grams = F.concat(*[F.transform(ngrams(F.col("w"), n), lambda g, k=n: F.struct(F.lit(k).alias("n"), g.alias("term"))) for n in range(1, most + 1)])
+    sized = lambda n: lambda g: F.struct(F.lit(n).alias("n"), g.alias("term"))
+    grams = F.concat(*[F.transform(ngrams(F.col("w"), n), sized(n)) for n in range(1, most + 1)])
     counts = sents.select(F.explode(grams).alias("g")).groupBy("g.n", "g.term").agg(F.count("*").alias("freq"))
     uni = counts.filter("n = 1").select(F.col("term").alias("word"), F.col("freq").alias("f"))
     total = uni.agg(F.sum("f").cast("double").alias("total"))
@@ -77,8 +78,9 @@ def discover_terms_cjk(texts: DataFrame, text: str = "text", most: int = 6, leas
     runs = texts.filter(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"[\x{4e00}-\x{9fff}]+"), F.lit(0))).alias("r"))
     at = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.length("r") - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= F.length("r"))
     edge = lambda c: F.when(c == "", F.lit("^")).otherwise(c)
-    grams = F.concat(*[F.transform(at(n), lambda i, k=n: F.struct(
-        F.lit(k).alias("n"), F.col("r").substr(i, F.lit(k)).alias("s"), edge(F.when(i > 1, F.col("r").substr(i - 1, F.lit(1))).otherwise("")).alias("l"), edge(F.col("r").substr(i + k, F.lit(1))).alias("rt"))) for n in range(1, most + 1)])
+    gram = lambda k: lambda i: F.struct(
+        F.lit(k).alias("n"), F.col("r").substr(i, F.lit(k)).alias("s"), edge(F.when(i > 1, F.col("r").substr(i - 1, F.lit(1))).otherwise("")).alias("l"), edge(F.col("r").substr(i + k, F.lit(1))).alias("rt"))
+    grams = F.concat(*[F.transform(at(n), gram(n)) for n in range(1, most + 1)])
     rows = runs.select(F.explode(grams).alias("g")).groupBy("g.n", "g.s", "g.l", "g.rt").agg(F.count("*").alias("c"))
     counts = rows.groupBy("n", "s").agg(F.sum("c").alias("freq"))
     total = counts.filter("n = 1").agg(F.sum("freq").cast("double").alias("total"))

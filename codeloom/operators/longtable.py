@@ -36,10 +36,9 @@ def code_rows(records: DataFrame, frameworks: DataFrame, lists: tuple[str, ...]
 
 def code_string(rows: list, framework: Column, dimension: Column, polarity: Column) -> Column:
     """SHORT-POLARITY, or SHORT where the framework has no polarity."""
-    result = F.lit(None).cast("string")
-    for r in rows:
-        result = F.when((framework == r.framework_id) & (dimension == r.dimension), F.lit(r.short_code)).otherwise(result)
-    return F.when(polarity == "", result).otherwise(F.concat(result, F.lit("-"), polarity))
+    shorts = F.create_map(*[F.lit(x) for r in rows for x in (f"{r.framework_id}\x1f{r.dimension}", r.short_code)])
+    short = F.try_element_at(shorts, F.concat(framework, F.lit("\x1f"), dimension))
+    return F.concat(short, F.when(polarity == "", "").otherwise(F.concat(F.lit("-"), polarity)))
 
 
 def build_long(records: DataFrame, frameworks: DataFrame) -> DataFrame:
