@@ -22,6 +22,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import exp
 from zlib import crc32
 
 import numpy as np
@@ -42,6 +43,8 @@ _SPACED = regex.compile(r"(?<![\p{L}])(?:\p{L}[ .\-_·．•]){3,}\p{L}{1,2}(?![
 _SPACED_HAN = regex.compile(r"(?<=[\p{Han}\p{Kana}\p{Hira}])[ .\-_*·．•]+(?=[\p{Han}\p{Kana}\p{Hira}])")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}--[\u0300-\u036f\u0900-\u0dff\u0e00-\u0eff\u0600-\u06ff]]", regex.V1)
 _STARS = regex.compile(r"(\p{L})[*＊#]{2,}(\p{L}{0,3})")
+#: Texts without any of these need no unmasking.
+_ODD = regex.compile(r"[0134578@$+*＊#_·．•]|\p{L}[.\-!]\p{L}|(?<!\p{L})\p{L} \p{L} \p{L}")
 _CYR = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 _LATIN = regex.compile(r"\p{Latin}")
 _SPLIT = regex.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|[\n\r]+|　")
@@ -52,25 +55,31 @@ _RUN = regex.compile(r"[\p{Han}\p{Hira}\p{Kana}\p{Thai}ー]")
 
 def fold(text: str) -> str:
     """Text in the spelling the classifier sees."""
-    t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).casefold()
-    if _CYR.search(t) and _LATIN.search(t):
-        t = t.translate(_LOOK)
-    t = _SPACED.sub(lambda m: regex.sub(r"[ .\-_·．•]", "", m.group()), t)
-    t = _SPACED_HAN.sub("", t)
-    t = _STARS.sub(r"\1**\2", t)
-    return _MIXED.sub(lambda m: m.group() if _PLAIN.fullmatch(m.group()) else m.group().translate(_LEET), t)
+    if text.isascii():
+        t = text.lower()
+    else:
+        t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).casefold()
+        if _CYR.search(t) and _LATIN.search(t):
+            t = t.translate(_LOOK)
+        t = _SPACED_HAN.sub("", t)
+    if _ODD.search(t):
+        t = _SPACED.sub(lambda m: regex.sub(r"[ .\-_·．•]", "", m.group()), t)
+        t = _STARS.sub(r"\1**\2", t)
+        t = _MIXED.sub(lambda m: m.group() if _PLAIN.fullmatch(m.group()) else m.group().translate(_LEET), t)
+    return t
+
+
+def pieces(text: str | None) -> Iterator[str]:
+    """Pieces of a text at stops and line ends, without speaker labels."""
+    for line in _SPLIT.split(text) if text else ():
+        piece = _LABEL.sub("", line)
+        if any(map(str.isalpha, piece)):
+            yield piece
 
 
 def sentences(text: str | None) -> list[str]:
-    """Folded pieces of a text at stops and line ends, without speaker labels."""
-    if not text:
-        return []
-    out = []
-    for line in _SPLIT.split(text):
-        piece = _LABEL.sub("", line)
-        if any(c.isalpha() for c in piece):
-            out.append(fold(piece))
-    return out
+    """Folded pieces."""
+    return [fold(p) for p in pieces(text)]
 
 
 def tokens(sentence: str) -> list[str]:
@@ -94,8 +103,13 @@ def _rows_of_word(w: str, buckets: int, low: int, high: int) -> list[int]:
     return ids
 
 
-def _rows_of_pair(a: str, b: str, buckets: int) -> int:
-    return crc32(f"p{a} {b}".encode()) % buckets
+def _hash(w: str) -> int:
+    return crc32(w.encode())
+
+
+def _row_of_pair(a: int, b: int, buckets: int) -> int:
+    """Row of two words in sequence, from their hashes."""
+    return ((a * 0x9E3779B1 + b) & 0xFFFFFFFF) % buckets
 
 
 @dataclass
@@ -108,14 +122,15 @@ class Model:
     low: int = 3
     high: int = 5
     _words: dict = field(default_factory=dict, repr=False)
-    _pairs: dict = field(default_factory=dict, repr=False)
     _known: dict = field(default_factory=dict, repr=False)
+    _raw: dict = field(default_factory=dict, repr=False)
 
-    def _word(self, w: str) -> tuple[np.ndarray, int]:
+    def _word(self, w: str) -> tuple[float, int, int]:
+        """Summed contribution of a word's rows, their number, and the word's hash."""
         hit = self._words.get(w)
         if hit is None:
             ids = _rows_of_word(w, len(self.vectors), self.low, self.high)
-            hit = (self.logits[ids].sum(0), len(ids))
+            hit = (float(self.logits[ids].sum()), len(ids), _hash(w))
             if len(self._words) < 500_000:
                 self._words[w] = hit
         return hit
@@ -127,36 +142,58 @@ class Model:
             self._logits = self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
         return self._logits
 
+    def _flat(self) -> list[float]:
+        if not hasattr(self, "_list"):
+            self._list, self.shift = self.logits.tolist(), float(self.bias[1] - self.bias[0])
+        return self._list
+
     def score_sentence(self, s: str) -> float:
         """Probability that a folded sentence is abusive."""
         hit = self._known.get(s)
         if hit is not None:
             return hit
-        words, total, n = tokens(s), 0.0, 0
-        for w in words:
-            v, k = self._word(w)
-            total += float(v)
+        total, n, before, flat, buckets, get = 0.0, 0, -1, self._flat(), len(self.vectors), self._words.get
+        for w in tokens(s):
+            v, k, h = get(w) or self._word(w)
+            if before >= 0:
+                v += flat[((before * 0x9E3779B1 + h) & 0xFFFFFFFF) % buckets]
+                k += 1
+            total += v
             n += k
-        for a, b in zip(words, words[1:]):
-            total += float(self.logits[_rows_of_pair(a, b, len(self.vectors))])
-            n += 1
-        p = 0.0 if not n else 1.0 / (1.0 + float(np.exp(-np.clip(total / n + self.bias[1] - self.bias[0], -30, 30))))
+            before = h
+        p = 0.0 if not n else 1.0 / (1.0 + exp(-max(-30.0, min(30.0, total / n + self.shift))))
         if len(self._known) < 200_000:
             self._known[s] = p
         return p
 
     def score(self, text: str | None) -> float:
-        """Score of a document: its worst sentence."""
-        return max((self.score_sentence(s) for s in sentences(text)), default=0.0)
+        """Score of a document: its worst sentence. Pieces met before are not folded again."""
+        worst = 0.0
+        for piece in pieces(text):
+            p = self._raw.get(piece)
+            if p is None:
+                p = self.score_sentence(fold(piece))
+                if len(self._raw) < 100_000:
+                    self._raw[piece] = p
+            worst = max(worst, p)
+        return worst
 
     def packed(self) -> dict:
         """What executors need."""
         return {"vectors": self.vectors, "weights": self.weights, "bias": self.bias, "low": self.low, "high": self.high}
 
 
+def combine(models: list[Model]) -> Model:
+    """One model with the mean of the models' logits; they are linear in a sentence's rows, so this is exact."""
+    logits = np.mean([m.logits for m in models], axis=0, dtype=np.float64).astype(np.float32)
+    shift = float(np.mean([m.bias[1] - m.bias[0] for m in models]))
+    return Model(logits[:, None], np.array([[0.0, 1.0]], np.float32), np.array([0.0, shift], np.float32))
+
+
 def _rows(s: str, buckets: int, low: int, high: int) -> np.ndarray:
     ws = tokens(s)
-    ids = [i for w in ws for i in _rows_of_word(w, buckets, low, high)] + [_rows_of_pair(a, b, buckets) for a, b in zip(ws, ws[1:])]
+    hs = [_hash(w) for w in ws]
+    ids = [i for w in ws for i in _rows_of_word(w, buckets, low, high)] + [_row_of_pair(a, b, buckets) for a, b in zip(hs, hs[1:])]
     return np.array(ids, np.int32)
 
 
@@ -272,7 +309,8 @@ def train(docs: list[tuple[str, float]], buckets: int = 1 << 17, dim: int = 10,
             chosen[d] = [i for i, v in enumerate(g) if v >= 0.5 or (i == best and v >= (0.1, 0.5)[min(r, 1)])]
         worst = np.array([max(m.score_sentence(t) for m in models) for t in texts], np.float32)
         hard = np.argsort(-worst)[: max_bags // 3]
-    return fit(everyone, 2 * rounds)
+    # Three seeds; only their mean logits are kept.
+    return combine([fit(everyone, 2 * rounds + i) for i in range(3)])
 
 
 def reviewed_documents(documents: DataFrame, reviews: DataFrame, max_documents: int) -> list[tuple[str, float]]:
@@ -297,7 +335,7 @@ def score_documents(documents: DataFrame, reviews: DataFrame, max_documents: int
     model = train(reviewed_documents(documents, reviews, max_documents), **options)
     if model is None:
         return documents.withColumn("abuse_score", F.lit(None).cast("double"))
-    # The model's size is fixed by buckets x dim (about 6 MB), whatever the corpus.
+    # The model is one number per bucket (half a MB), whatever the corpus.
     shared = spark.sparkContext.broadcast(model.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.labels import dimension_of, framework_rows, polarity_of
 from codeloom.llm import abuse, baskets, consensus, mixing, packing, pairs, pii, sentences, tokens
+from codeloom.plans.oracles import spelling
 from codeloom.session import materialise, small
 
 #: Thresholds that the problem states.
@@ -125,5 +126,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+_CLEAN = (
+    "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[\\s\\x{{3000}}\\x{{a0}}]+', ' ', 'g'), "
+    "'(?i)^(\\s*(\\[\\s*\\d+\\s*[x×]\\s*\\]|\\[\\s*new( code)?\\s*\\]|【[^】]*】|new( code)?\\s*[:：]|[-*•#>]+ ))+', ''), '\\s[—–-]+\\s.*$', ''), '——.*$', ''), "
+    "'^[\\s\"''“”‘’«»「『*_`]+|[\\s\"''“”‘’«»」』*_`.。．!！?？;；:：,，、…]+$', '', 'g'))"
+)
+
+_P1 = f"""WITH rec AS (SELECT * FROM records QUALIFY record_id IS NULL OR row_number() OVER (PARTITION BY record_id ORDER BY saved_at DESC) = 1),
+ orec AS (SELECT * FROM open_records QUALIFY record_id IS NULL OR row_number() OVER (PARTITION BY record_id ORDER BY saved_at DESC) = 1),
+ seg AS (SELECT record_id, _meta.framework_id AS framework_id, i AS pos, segments[i].codes AS codes FROM rec, unnest(range(1, coalesce(len(segments), 0) + 1)) t(i)),
+ entry AS (SELECT record_id, framework_id, pos, c.dimension AS raw FROM (SELECT record_id, framework_id, pos, unnest(codes) AS c FROM seg)),
+ {spelling("entry")},
+ oseg AS (SELECT record_id, _meta.codebook_id AS scope, i AS pos, open_segments[i].open_codes AS codes FROM orec, unnest(range(1, coalesce(len(open_segments), 0) + 1)) t(i)),
+ oentry AS (SELECT record_id, scope, pos, {_CLEAN.format("c.label")} AS k FROM (SELECT record_id, scope, pos, unnest(codes) AS c FROM oseg)),
+ book AS (SELECT codebook_id AS scope, {_CLEAN.format("c.label")} AS k, min(c.label) AS item FROM (SELECT codebook_id, unnest(codes) AS c FROM codebooks) WHERE c.label IS NOT NULL GROUP BY 1, 2),
+ x AS (SELECT DISTINCT 'r' || e.record_id || '#' || e.pos AS basket, e.framework_id AS scope, s.dimension AS item FROM entry e JOIN spell s ON s.framework_id = e.framework_id AND s.raw = e.raw
+  UNION SELECT DISTINCT 'o' || e.record_id || '#' || e.pos, e.scope, b.item FROM oentry e JOIN book b ON b.scope = e.scope AND b.k = e.k),
+ n AS (SELECT scope, count(DISTINCT basket) AS n_all FROM x GROUP BY 1), m AS (SELECT scope, item, count(*) AS k FROM x GROUP BY 1, 2),
+ p AS (SELECT a.scope, a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM x a JOIN x b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2, 3),
+ r AS (SELECT p.scope, p.item_a, p.item_b, n_ab, a.k AS n_a, b.k AS n_b, n_all FROM p JOIN n ON n.scope = p.scope JOIN m a ON a.scope = p.scope AND a.item = p.item_a JOIN m b ON b.scope = p.scope AND b.item = p.item_b)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_scores": f"{_P1} SELECT scope, item_a, item_b, n_ab, n_a, n_b, n_all, n_ab * n_all::DOUBLE / (n_a::DOUBLE * n_b) AS ratio FROM r",
+        "p1_found": f"{_P1} SELECT scope AS scope_id, item_a, item_b FROM r WHERE n_ab >= 5 AND n_ab * n_all > 2.75 * n_a * n_b",
+    }
