@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.segmenting import _flat_map
 
-_TURN = re.compile(r"^\s*(?:The\s+)?((?:Mr|Mrs|Ms|Dr|Chair(?:man|woman|person)?|CHAIR(?:MAN|WOMAN|PERSON)?|Senator|Representative|WITNESS|MEMBER|Mx)\b[^.\n]{0,50}|[A-Z][A-Z .'\-]{2,40})\.\s+(.*)$")
+_TURN = re.compile(r"^\s*(?:The\s+)?((?:Mr|Mrs|Ms|Dr|Mx)\.?\s[^.\n]{1,50}|(?:Chair(?:man|woman|person)?|CHAIR(?:MAN|WOMAN|PERSON)?|Senator|Representative|WITNESS|MEMBER)\b[^.\n]{0,50}|[A-Z][A-Z '\-]{2,40})\.\s+(.*)$")
 _CHAIR = re.compile(r"(?i)chair|senator|representative|member")
 #: Ordered rules from affiliation words to sector; the first that matches holds.
 SECTORS = (("academia", r"(?i)university|college|professor|institute of technology"), ("government", r"(?i)department|agency|bureau|federal|ministry|commission"),
