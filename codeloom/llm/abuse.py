@@ -227,8 +227,8 @@ def _fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, buckets: int
     return Model(vectors, W, b)
 
 
-def train(docs: list[tuple[str, float]], buckets: int = 1 << 17, dim: int = 10, epochs: int = 5, rounds: int = 2, rate: float = 0.8, seed: int = 7, max_bags: int = 8_000) -> Model | None:
-    """Model from (text, share of abusive verdicts); null if only one kind occurs.
+def train(docs: list[tuple[str, float, int]], buckets: int = 1 << 17, dim: int = 10, epochs: int = 5, rounds: int = 2, rate: float = 0.8, seed: int = 7, max_bags: int = 8_000) -> Model | None:
+    """Model from (text, share of abusive verdicts, raters); null if only one kind occurs.
 
     Documents of which at most a quarter of the verdicts is abusive count as clean, from a
     half on as abusive; the rest is not used. A round trains on at most ``max_bags``
@@ -238,15 +238,15 @@ def train(docs: list[tuple[str, float]], buckets: int = 1 << 17, dim: int = 10,
     not confirm itself.
     """
     clean: dict[str, list] = {}
-    bad: list[tuple[list[str], float]] = []
+    bad: list[tuple[list[tuple[str, str]], float, bool]] = []
     key = lambda s: " ".join(tokens(s))
-    for text, share in docs:
+    for text, share, raters in docs:
         ss = list({key(s): s for s in sentences(text)}.items())
         if share <= 0.25:
             for k, s in ss:
                 clean.setdefault(k, [s, 0])[1] += 1
         elif share >= 0.5 and ss:
-            bad.append((ss, share))
+            bad.append((ss, share, raters > 1 and share > 0.6))
     if not clean or not bad:
         return None
     rng = np.random.default_rng(seed)
@@ -260,13 +260,13 @@ def train(docs: list[tuple[str, float]], buckets: int = 1 << 17, dim: int = 10,
         return negatives[i]
 
     in_bad: dict[str, int] = {}
-    for ss, _ in bad:
+    for ss, *_ in bad:
         for k, _ in ss:
             in_bad[k] = in_bad.get(k, 0) + 1
     per = len(bad) / max(1, len(docs) - len(bad))
     # A sentence that clean documents hold too is evidence only if it is clearly commoner in abusive ones.
-    pure = [[k not in clean or in_bad[k] - 2 * in_bad[k] ** 0.5 > 2 * per * clean[k][1] for k, _ in ss] for ss, _ in bad]
-    bad_bags = [[bag(s) for _, s in ss] for ss, _ in bad]
+    pure = [[k not in clean or in_bad[k] - 2 * in_bad[k] ** 0.5 > 2 * per * clean[k][1] for k, _ in ss] for ss, *_ in bad]
+    bad_bags = [[bag(s) for _, s in ss] for ss, *_ in bad]
     fold_of = rng.integers(0, 2, len(bad))
     # The commonest clean sentences first, then the others in seeded order.
     common = np.argsort(-counts, kind="stable")[: max_bags // 3]
@@ -305,28 +305,29 @@ def train(docs: list[tuple[str, float]], buckets: int = 1 << 17, dim: int = 10,
         for d in everyone:
             g = [models[fold_of[d]].score_sentence(s) if ok else 0.0 for (_, s), ok in zip(bad[d][0], pure[d])]
             best = int(np.argmax(g))
-            # In the last rounds a document of which nothing looks abusive is left out.
-            chosen[d] = [i for i, v in enumerate(g) if v >= 0.5 or (i == best and v >= (0.1, 0.5)[min(r, 1)])]
+            # After the first round only clear cases are kept, and the worst sentence where several
+            # people agree that there is one; other documents are left out.
+            chosen[d] = [i for i, v in enumerate(g) if v >= 0.8 or (i == best and v > 0 and bad[d][2]) or (r == 0 and (v >= 0.5 or (i == best and v >= 0.1)))]
         worst = np.array([max(m.score_sentence(t) for m in models) for t in texts], np.float32)
         hard = np.argsort(-worst)[: max_bags // 3]
     # Three seeds; only their mean logits are kept.
     return combine([fit(everyone, 2 * rounds + i) for i in range(3)])
 
 
-def reviewed_documents(documents: DataFrame, reviews: DataFrame, max_documents: int) -> list[tuple[str, float]]:
-    """At most ``max_documents`` (text, share of abusive verdicts), half of them abusive at most, by hash."""
+def reviewed_documents(documents: DataFrame, reviews: DataFrame, max_documents: int) -> list[tuple[str, float, int]]:
+    """At most ``max_documents`` (text, share of abusive verdicts, raters), half of them abusive at most, by hash."""
     verdict = F.lower(F.trim("verdict"))
     shares = (
         reviews.filter(F.col("verdict").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id", F.lower(F.trim("rater")).alias("rater")).agg(F.max_by(verdict, F.struct("reviewed_at", "review_id")).alias("v"))
-        .groupBy("doc_id").agg(F.avg((F.col("v") != "none").cast("double")).alias("share"))
+        .groupBy("doc_id").agg(F.avg((F.col("v") != "none").cast("double")).alias("share"), F.count("*").alias("raters"))
     )
     half = max_documents // 2
     picked = shares.filter("share >= 0.5").orderBy(F.xxhash64("doc_id")).limit(half).unionByName(shares.filter("share <= 0.25").orderBy(F.xxhash64("doc_id")).limit(half))
     from codeloom.session import small
 
     rows = documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(small(picked, max_documents), "doc_id").orderBy("doc_id").collect()
-    return [(r.text, r.share) for r in rows]
+    return [(r.text, r.share, r.raters) for r in rows]
 
 
 def score_documents(documents: DataFrame, reviews: DataFrame, max_documents: int = 6_000, **options: object) -> DataFrame:

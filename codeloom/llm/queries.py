@@ -15,7 +15,7 @@ from codeloom.session import materialise, small
 #: Thresholds that the problem states.
 MIN_TOGETHER, MIN_RATIO = 5, 2.75
 #: Score from which a document counts as abusive.
-ABUSIVE = 0.5
+ABUSIVE = 0.6
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
