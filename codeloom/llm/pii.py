@@ -73,7 +73,7 @@ NOT_NAMES = frozenset(
     "the a an our my your his her their its this that these those it we they he she i you who what which when where why how nobody everyone someone anyone all some any no not one two if in on at by for from with before after under over "
     "der die das ein eine wir sie es er ich man le la les un une nous ils elle il on el los las una nadie ellos".split()
 )
-STREET = r"(?:Road|Rd\.?|Street|St\.?|Avenue|Ave\.?|Lane|Ln\.?|Close|Court|Ct\.?|Row|Steps|Drive|Way|Place|Pl\.?|Square|Sq\.?|Terrace|Crescent|Boulevard|Blvd\.?|Gardens|Grove|Mews|Walk|Parade|Quay|Yard|Alley|Green|View|Rise|Embankment|Wharf|Gate|Hill|Park)"
+STREET = r"(?:Road|Rd\.?|Street|St\.?|Avenue|Ave\.?|Lane|Ln\.?|Close|Court|Ct\.?|Row|Steps|Drive|Way|Place|Pl\.?|Square|Sq\.?|Terrace|Crescent|Boulevard|Blvd\.?|Gardens|Grove|Mews|Walk|Parade|Quay|Yard|Alley|Green|View|Rise|Embankment|Wharf|Gate)"
 
 # --- shapes ----------------------------------------------------------------------------------
 _LOCAL = r"[\p{Latin}\p{Nd}][\p{Latin}\p{Nd}._%+\-]*"
@@ -102,7 +102,7 @@ IDNUM = regex.compile(
     r")(?![\p{Latin}\d]|-\d|/\d)"
 )
 
-_CAPW = r"\p{Lu}[\p{L}'’]*\.?"
+_CAPW = r"\p{Lu}[\p{L}'’]*"
 _PLACE = r"\p{Lu}[\p{L}'’\-]+(?:\s(?:\p{Lu}[\p{L}'’\-]+|de|del|la|le|sur|am|an|der|upon|on)){0,3}"
 _PLACE = rf"(?:{_PLACE})"
 _UNIT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|Rm\.?)\s?[\p{Nd}]+\s?\p{L}?"
@@ -124,7 +124,7 @@ _W = r"\p{L}[\p{L}'’]*"
 #: A name in its usual shape: initials or given names, particle, surname (perhaps double), or surname, given name.
 _ONE = rf"(?:\p{{Lu}}[\p{{L}}'’]+(?:-\p{{Lu}}[\p{{L}}'’]+)*)"
 CAP_NAME = rf"(?:(?:\p{{Lu}}\.\s?){{0,3}}(?:{_ONE}\s)?(?:\p{{Lu}}\.\s?)?(?:{PARTICLE}\s)?{_ONE}(?:,\s{_ONE}(?=\s\p{{Ll}}|\s\(|[.,)]|$))?|{_ONE},\s{_ONE})"
-ANY_NAME = rf"(?:(?:\p{{L}}\.\s?){{0,3}}{_W}(?:-{_W})?(?:,\s{_W}|(?:\s(?!(?:STOP_WORDS)\b){_W}\.?(?:-{_W})?){{0,4}}))"
+ANY_NAME = rf"(?:(?:\p{{L}}\.\s?){{0,3}}{_W}(?:-{_W})?(?:,\s{_W}|(?:\s(?!(?:STOP_WORDS)\b)(?:\p{{L}}\.|{_W}(?:-{_W})?)){{0,4}}))"
 
 
 _S, _B = r"\s", r"[^\S\n]"
@@ -149,6 +149,7 @@ def _cue(score: float, needs: str, before: str, after: str, stop: str, lower: bo
     return cues
 
 
+_PARTICLES = regex.compile(rf"(?<=\s|^){PARTICLE}(?=\s)")
 _VERB = r"(?=,?\s\p{Ll}+(?:ed|ew|ote|ote|sent|lt|id|pt|ought|oke|ook)\b)"
 CUES: list[Cue] = [
     *_cue(3.5, "olleague", r"\b(?i:my|our|their|his|her|a)\scolleague,?\s", _VERB, r"\p{Ll}+ed|withdrew|rewrote|sent|told"),
@@ -157,7 +158,7 @@ CUES: list[Cue] = [
     *_cue(3.5, "sk for", r"\b(?i:ask\sfor)\s", r"(?=\s\((?:zero|one|two|three|four|five|six|seven|eight|nine)\b)", "at"),
     *_cue(3.5, "belong", r"\bbelong(?:s|ed)\sto\s", r"(?=[.!?]?(?:\s|$))", "and"),
     *_cue(3.5, " list", r"\b(?i:keep|kept|have|put)\s", r"(?=\son\s(?:the|their|our)\slist\b)", "on"),
-    *_cue(3.5, " me| us", r"(?:^|[.!?:…”\"»)\]]\s*|\n\s*|　)", r"(?=\s(?:told|asked|warned|showed|reminded)\s(?:me|us)\b)", "told|asked|warned|showed|reminded"),
+    *_cue(3.5, " me| us", r"(?:^|[.!?:…”\"»)\]]\s+|\n\s*|　|(?<=\p{Ll}{2}[.!?]))", r"(?=\s(?:told|asked|warned|showed|reminded)\s(?:me|us)\b)", "told|asked|warned|showed|reminded"),
     *_cue(3.5, " about", rf"\b(?:spoke|talked|wrote)\s(?:to|with)\s(?:{TITLE}\.?\s)?", r"(?=\sabout\b)", "about"),
     *_cue(3.5, "Dr|Mr|Ms|Mx|Miss|Prof|Sr|Mme|Mlle|Madame|Monsieur|Frau|Herr|Hr|Cllr|Do|Se", rf"\b{TITLE}\.?\s", r"(?=\s(?:from|of)\s(?:the|our)\b)", "from|of"),
     *_cue(3.5, "habl", r"\bhabl(?:ó|aron)\scon\s(?:(?:la|el)\s)?(?:(?:Sra|Sr)\.\s)?", r"(?=\ssobre\b)", "sobre"),
@@ -176,7 +177,7 @@ CUES: list[Cue] = [
 _G = "|".join(GIVEN_NAMES)
 #: A given name and a surname side by side, without other words calling for a name.
 FULL_NAME = regex.compile(rf"(?<![\p{{L}}'’.@+_\-])(?:{_G})\s(?:(?:\p{{Lu}}\.\s?)*(?:{PARTICLE}\s)?{_ONE})(?![\p{{L}}@+_])")
-INITIAL_NAME = regex.compile(rf"(?<![\p{{L}}'’.@+_\-])(?:\p{{Lu}}\.\s?){{1,3}}(?:{PARTICLE}\s)?{_ONE}(?![\p{{L}}@+_])")
+INITIAL_NAME = regex.compile(rf"(?<![\p{{L}}'’.@+_\-])(?!P\.?\s?O\.?\sBox)(?:\p{{Lu}}\.\s?){{1,3}}(?:{PARTICLE}\s)?{_ONE}(?![\p{{L}}@+_])")
 NAMES_HAN = [
     regex.compile(r"(?:請找|请找|聯絡|联络|找到|訪問|访问|叫做|名叫|我是|給|给)(?P<n>[" + SURNAMES_ZH + r"]\p{Han}{1,2})(?=[，。,.！!、\s（(]|$|電話|电话|老師|先生|女士|小姐)"),
     regex.compile(r"(?:^|[。！？!?」』　\n\s：:，])(?P<n>[" + SURNAMES_ZH + r"]\p{Han}{1,2})(?=(?:告訴|告诉|說|说|表示|提到|跟我|對我|和我)(?:我|過|了|，|：)?)"),
@@ -185,8 +186,15 @@ NAMES_HAN = [
 ]
 
 
-def _near(text: str, a: int, b: int, words: regex.Pattern, before: int = 40, after: int = 14) -> bool:
+_STOP_BEFORE = regex.compile(r"(?r)[\n。！？]|[.!?](?=\s)")
+
+
+def _near(text: str, a: int, b: int, words: regex.Pattern, before: int = 40, after: int = 14, sentence: bool = False) -> bool:
+    """Whether one of the words stands shortly before or after, in the same line or, if asked, in the same sentence."""
     line = text.rfind("\n", max(0, a - before), a)
+    if sentence:
+        stop = _STOP_BEFORE.search(text, max(0, a - before), a)
+        line = stop.start() if stop else line
     return bool(words.search(text, max(0, a - before, line + 1), a) or words.search(text, b, min(len(text), b + after)))
 
 
@@ -230,7 +238,7 @@ def _phones(t: str) -> Iterator[tuple[int, int, str, float]]:
             score += 2.0
         if regex.match(r"\d{4}-\d{2}-\d{2}$", s) or regex.match(r"\d{1,3}(?: \d{3})+$", s):
             score -= 2.0
-        if _near(t, a, b, NOT_NUMBERS, 24, 0):
+        if _near(t, a, b, NOT_NUMBERS, 24, 0, True):
             score -= 3.0
         if regex.search(r"(?i)(?:insurance|passport|ausweis|passeport|documento|身分證)[^.\n]{0,12}$", t[max(0, a - 30) : a]):
             score -= 2.0
@@ -255,7 +263,7 @@ def _ids(t: str) -> Iterator[tuple[int, int, str, float]]:
         a, b = m.span()
         if _near(t, a, b, ID_WORDS, 44, 40):
             score += 2.0
-        if _near(t, a, b, NOT_NUMBERS, 20, 0):
+        if _near(t, a, b, NOT_NUMBERS, 20, 0, True):
             score -= 3.0
         if kind == "long" and _near(t, a, b, PHONE_WORDS, 24, 6) and not regex.search(r"(?i)passport|insurance|ausweis|passeport|documento|身分證|identity", t[max(0, a - 40) : b + 40]):
             score -= 2.0
@@ -290,8 +298,8 @@ def _names(t: str) -> Iterator[tuple[int, int, str, float]]:
             lead = regex.match(rf"{TITLE}\.?\s+", t[a:b])
             if lead:
                 a += lead.end()
-            words = regex.findall(r"[\p{L}'’]+", t[a:b])
-            if not words or words[0].lower() in NOT_NAMES and t[a + len(words[0])] != "." or len(words) > 6:
+            words = regex.findall(r"[\p{L}'’]+", _PARTICLES.sub(" ", t[a:b]))
+            if not words or len(words) > 6 or any(w.lower() in NOT_NAMES for w in words if len(w) > 1 or words[0] is w and t[a + 1 : a + 2] != "."):
                 continue
             score = cue.score
             capital = any(w[0].isupper() for w in words)
