@@ -39,7 +39,7 @@ _LOOK = {ord(a): b for a, b in LOOKALIKES.items()}
 _LEET = {ord(a): b for a, b in LEET.items()}
 _MIXED = regex.compile(r"(?<![\d.,])[\p{Latin}0134578@$+!]*\p{Latin}[\p{Latin}0134578@$+!]*")
 _PLAIN = regex.compile(r"\p{L}+[!+]*|\d+\p{L}{1,2}|\p{L}{1,2}\d+")
-_SPACED = regex.compile(r"(?<![\p{L}])(?:\p{L}[ .\-_·．•]){3,}\p{L}{1,2}(?![\p{L}])")
+_SPACED = regex.compile(r"(?<!\p{L})\p{L}([ .\-_·．•])(?:\p{L}\1){2,}\p{L}{1,2}(?!\p{L})")
 _SPACED_HAN = regex.compile(r"(?<=[\p{Han}\p{Kana}\p{Hira}])[ .\-_*·．•]+(?=[\p{Han}\p{Kana}\p{Hira}])")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}--[\u0300-\u036f\u0900-\u0dff\u0e00-\u0eff\u0600-\u06ff]]", regex.V1)
 _STARS = regex.compile(r"(\p{L})[*＊#]{2,}(\p{L}{0,3})")
