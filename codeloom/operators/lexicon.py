@@ -257,3 +257,44 @@ def audit_llm(rows: DataFrame, coder: DictionaryCoder, miss: float = 2.0, text:
     over = F.transform(F.filter("codes", lambda c: ~F.exists("s", lambda y: (y["code"] == c) & (y["score"] > 0))), lambda c: F.struct(c.alias("code"), F.lit(0.0).alias("score"), F.lit("over").alias("kind")))
     missed = F.transform(F.filter("s", lambda y: (y["score"] >= miss) & ~given(y["code"])), lambda y: F.struct(y["code"].alias("code"), y["score"].alias("score"), F.lit("miss").alias("kind")))
     return x.select("unit_id", F.explode(F.concat(over, missed)).alias("a"), F.substring(text, 1, 120).alias("excerpt")).select("unit_id", "a.*", "excerpt")
+
+
+def vocabulary(lexicon_terms: DataFrame, discovered: DataFrame) -> DataFrame:
+    """(term, source): the lexicon's terms and those discovered; a term of both is the lexicon's."""
+    a = lexicon_terms.select("term").distinct().withColumn("source", F.lit("lexicon"))
+    return a.unionByName(discovered.select("term").distinct().join(a.select("term"), "term", "left_anti").withColumn("source", F.lit("discovered")))
+
+
+class Segmenter:
+    """Words of a text by blanks, with listed terms kept whole; Han runs by longest match of the listed terms."""
+
+    def __init__(self, terms: list[str]) -> None:
+        latin = sorted({t.lower() for t in terms if t and re.search(r"[a-z]", t, re.I)}, key=lambda t: (-len(t), t))
+        self.han = {t for t in terms if t and not re.search(r"[a-z]", t, re.I)}
+        self.longest = max(map(len, self.han), default=1)
+        listed = rf"(?<![\w'-])(?:{'|'.join(map(re.escape, latin))})(?![\w'-])|" if latin else ""
+        self.words = re.compile(listed + r"[a-z][a-z'-]*|[一-鿿]+")
+
+    def split(self, text: str | None) -> list[str]:
+        out: list[str] = []
+        for w in self.words.findall((text or "").lower()):
+            if not ("一" <= w[0] <= "鿿"):
+                out.append(w)
+                continue
+            i = 0
+            while i < len(w):
+                n = next((k for k in range(min(self.longest, len(w) - i), 1, -1) if w[i : i + k] in self.han), 1)
+                out.append(w[i : i + n])
+                i += n
+        return out
+
+
+def segment(df: DataFrame, segmenter: Segmenter, text: str = "text", name: str = "tokens") -> DataFrame:
+    """Adds the segmenter's words; null text gives an empty list."""
+
+    @F.pandas_udf("array<string>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(segmenter.split)
+
+    return df.withColumn(name, run(F.col(text)))

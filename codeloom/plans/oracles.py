@@ -202,4 +202,8 @@ SQL: dict[str, str] = {
     "theme_support": """WITH m AS (SELECT DISTINCT l_returnflag AS theme_id, o_custkey AS r FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 40), a AS (SELECT count(DISTINCT o_custkey) AS k FROM orders) SELECT theme_id, count(*) AS respondents, round(count(*) / any_value(a.k)::DOUBLE, 9) AS support_rate FROM m, a GROUP BY 1""",
     "theme_codes": """WITH m AS (SELECT DISTINCT l_returnflag AS theme_id, l_orderkey AS g FROM lineitem WHERE l_quantity > 40) SELECT theme_id, o_orderstatus AS code, count(*) AS n FROM m JOIN orders ON o_orderkey = g GROUP BY 1, 2""",
     "unassigned_items": "SELECT o_orderkey AS global_id, o_custkey AS respondent FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)",
+    "coded_records": """SELECT session_id, coalesce(respondent, 'unspecified') AS respondent, CAST(count(*) AS INTEGER) AS segments FROM units WHERE len(ai_codes) > 0 GROUP BY 1, 2""",
+    "dimension_labels": "SELECT framework_id || '.' || dimension AS key, coalesce(label_zh, label_en, framework_id || '.' || dimension) AS label FROM frameworks",
+    "methods_facts": _EVENTS + """, e AS (SELECT unnest(s.review.history) AS e FROM seg), a AS (SELECT count(*) AS records, count(DISTINCT respondent) AS respondents, array_to_string(list_sort(list(DISTINCT _meta.framework_id)), ', ') AS frameworks, array_to_string(list_sort(list(DISTINCT _meta.endpoint.model) FILTER (_meta.endpoint.model IS NOT NULL)), ', ') AS models FROM rec),
+ b AS (SELECT count(*) AS events, count(DISTINCT e.reviewer) AS reviewers FROM e WHERE e IS NOT NULL) SELECT * FROM a, b""",
 }

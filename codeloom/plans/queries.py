@@ -11,7 +11,7 @@ from codeloom.framework import Framework
 from codeloom.functions import segmenting, text as tx
 from codeloom.functions.arrays import sorted_set
 from codeloom.functions.labels import framework_rows
-from codeloom.operators import agreement, coding, cooccur, crosstab as ct, frame, lexicon, longtable, marks, migrate, openbook, review, themes
+from codeloom.operators import agreement, coding, cooccur, corpus, crosstab as ct, frame, lexicon, longtable, marks, migrate, openbook, review, themes
 from codeloom.plans import oracles
 from codeloom.sources import export, files, hearing, nested
 from codeloom.streaming.review import action_counts
@@ -635,6 +635,48 @@ def first_order_items(spark: SparkSession, d: str) -> DataFrame:
     return themes.first_order_items(_long(spark, d))
 
 
+# --- corpora ---------------------------------------------------------------------------------------
+
+
+@query
+def coded_records(spark: SparkSession, d: str) -> DataFrame:
+    """Segments per session, coder and respondent, built from the model's codes of every unit."""
+    u = _t(spark, d, "units")
+    r = corpus.records_from_codings(u.select("session_id", F.lit("model").alias("coder"), "unit_id", F.col("ai_codes").alias("codes")), u)
+    return r.select("session_id", "respondent", F.size("segments").alias("segments"))
+
+
+@query
+def methods_facts(spark: SparkSession, d: str) -> DataFrame:
+    r = _records(spark, d)
+    return corpus.methods_facts(r, review.history_rows(r))
+
+
+@query
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Lexicon terms (clean code labels) and discovered terms."""
+    terms = _labels(spark, d).select(F.lower("label").alias("term"))
+    return lexicon.vocabulary(terms, lexicon.discover_terms_en(_t(spark, d, "documents").filter("lang = 'en'"), top=None))
+
+
+@query
+def segmented_words(spark: SparkSession, d: str) -> DataFrame:
+    """Word counts of Chinese documents, dimension labels kept whole."""
+    s = lexicon.Segmenter([r.label_zh for r in framework_rows(_t(spark, d, "frameworks"))])
+    docs = _t(spark, d, "documents").filter("lang = 'zh' and text is not null").select("text")
+    return lexicon.segment(docs, s).select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query
+def dimension_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Chinese label of every dimension, else the English one."""
+    f = _t(spark, d, "frameworks")
+    pair = lambda lang: F.struct(F.lit(lang).alias("lang"), F.col(f"label_{lang}").alias("label"))
+    key = F.concat_ws(".", "framework_id", "dimension").alias("key")
+    labels = f.select(key, F.explode(F.array(pair("en"), pair("zh"))).alias("l")).select("key", "l.*")
+    return corpus.label_lookup(f.select(key), labels, "zh")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

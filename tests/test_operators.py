@@ -381,3 +381,26 @@ def test_themes(spark):
     assert themes.themes_json(out).count() == 2
     v = spark.createDataFrame([(1, True, 0), (1, False, 1), (2, True, 0), (3, False, 0)], "id int, conforming boolean, ord int")
     assert themes.contract_verdict(v).first().verdict == "shaky"
+
+
+def test_corpus(spark):
+    from codeloom.operators import corpus
+
+    c = spark.createDataFrame([(1, 0, 50, "A"), (1, 60, 200, "B"), (1, 230, 300, "A"), (1, None, None, "C"), (2, 5, 900, "A"), (2, 10, 20, "B")], "k int, start_pos int, end_pos int, code string")
+    got = [(r.k, r.seg_no, r.start_pos, r.end_pos, r.codes) for r in corpus.reference_segments(c, ["k"]).orderBy("k", "seg_no").collect()]
+    assert got == [(1, 1, 0, 200, ["A", "B"]), (1, 2, 230, 300, ["A"]), (2, 1, 5, 900, ["A"]), (2, 2, 10, 20, ["B"])]
+    p = spark.createDataFrame([(f"p{i % 20}", s) for i, s in enumerate("aabbc" * 10)], "person string, sector string")
+    sub = corpus.sector_subset(p, ["c", "b"], n=3).collect()
+    assert len({r.person for r in sub}) == len(sub) and all(sum(r.sector == s for r in sub) <= 3 for s in "abc")
+    m = spark.createDataFrame([(1, 9, 12, "x", ["A"], None), (1, 0, 5, "y", ["B"], "c"), (1, 0, 3, "z", [], None)], "file_id int, start_pos int, end_pos int, text string, codes array<string>, comment string")
+    assert [s.quote for s in corpus.record_from_marks(m).first().segments] == ["y", "x"]
+    labels = spark.createDataFrame([("a", "en", "A"), ("a", "zh", "甲"), ("b", "en", "B")], "key string, lang string, label string")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    assert {r.key: r.label for r in corpus.label_lookup(keys, labels, "zh").collect()} == {"a": "甲", "b": "B", "c": "c"}
+    assert [(r.key, r.lang) for r in corpus.missing_labels(labels, ["en", "zh"]).collect()] == [("b", "zh")]
+
+
+def test_segmenter(spark):
+    s = lexicon.Segmenter(["data analysis", "資料分析", "資料"])
+    assert s.split("Our data analysis of data: 資料分析很難") == ["our", "data analysis", "of", "data", "資料分析", "很", "難"] and s.split(None) == []
+    assert lexicon.Segmenter([]).split("a b 中文") == ["a", "b", "中", "文"]
