@@ -7,9 +7,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.distributed import running
 from codeloom.functions.segmenting import OVERLAP, WINDOW, windows
 from codeloom.functions.text import is_placeholder
 from codeloom.operators.cooccur import MERGE_ACTION
@@ -187,9 +188,9 @@ def verify_quotes(quotes: DataFrame, transcripts: DataFrame, key: str) -> DataFr
     return quotes.join(t, key, "left").select(key, "quote_id", F.when(n(F.col("quote")) != "", F.contains("t", n(F.col("quote")))).alias("verbatim"))
 
 
-def number(df: DataFrame, order: list[str | Column], pattern: str, name: str) -> DataFrame:
-    """Ids like G0001 in the given order: a global numbering, so the frame passes one sort."""
-    return df.withColumn(name, F.format_string(pattern, F.row_number().over(Window.orderBy(*order))))
+def number(df: DataFrame, order: list[str], pattern: str, name: str) -> DataFrame:
+    """Ids like G0001 in the given order."""
+    return running(df, order, number="__no").withColumn(name, F.format_string(pattern, F.col("__no"))).drop("__no")
 
 
 def attach_transcripts(records: DataFrame, uploads: DataFrame, key: str = "transcript_file") -> DataFrame:

@@ -19,15 +19,38 @@ def overlaps(a: Column, b: Column) -> Column:
     return inside(a, b) | inside(b, a)
 
 
+def _grams(c: Column) -> Column:
+    """Distinct strings of LEAST characters; none of shorter texts."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c) - LEAST + 1, F.lit(1))), lambda i: i + LEAST - 1 <= F.length(c))
+    return F.array_distinct(F.transform(at, lambda i: c.substr(i, F.lit(LEAST))))
+
+
+def contained(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
+    """(i, o) of texts of one key where the inner one (at least LEAST characters) is contained in the outer one.
+
+    ``inner``: key, i, t; ``outer``: key, o, t. A contained text shares every gram with its
+    container; each inner text looks for its rarest gram only, and one that has a gram no
+    outer text of its key holds is dropped at once. So a key with many texts is not paired
+    with itself, and the result is exact.
+    """
+    og = outer.select(key, "o", F.col("t").alias("ot"), F.explode(_grams(F.col("t"))).alias("g"))
+    counts = og.groupBy(key, "g").agg(F.count("*").alias("f"))
+    ig = inner.select(key, "i", F.explode(_grams(F.col("t"))).alias("g")).join(counts, [key, "g"], "left")
+    rare = ig.groupBy(key, "i").agg(F.min_by("g", F.struct("f", "g")).alias("g"), F.min(F.coalesce("f", F.lit(0))).alias("least")).filter("least > 0").select(key, "i", "g")
+    probes = rare.join(inner.select(key, "i", F.col("t").alias("it")).distinct(), [key, "i"])
+    return probes.join(og, [key, "g"]).filter(F.contains("ot", F.col("it"))).select("i", "o").distinct()
+
+
 def locate_quotes(quotes: DataFrame, units: DataFrame, key: str = "respondent") -> DataFrame:
-    """(unit_id, quote_id, codes) of quotes and units of one key that overlap.
+    """(unit_id, quote_id, codes) of quotes and units of one key where one contains the other; see :func:`contained`.
 
-    An equi-join on the key with the containment as residual; AQE splits a key that holds
-    many rows. Null texts and keys match nothing.
+    Null texts and keys match nothing.
     """
-    q = quotes.select(key, "quote_id", "codes", drop_punctuation(F.col("quote")).alias("q"))
-    u = units.select(key, "unit_id", drop_punctuation(F.col("text")).alias("u"))
-    return u.join(q, key).filter(overlaps(F.col("q"), F.col("u"))).select("unit_id", "quote_id", "codes")
+    q = quotes.select(key, "quote_id", drop_punctuation(F.col("quote")).alias("t"))
+    u = units.select(key, "unit_id", drop_punctuation(F.col("text")).alias("t"))
+    a = contained(q.withColumnRenamed("quote_id", "i"), u.withColumnRenamed("unit_id", "o"), key).select(F.col("o").alias("unit_id"), F.col("i").alias("quote_id"))
+    b = contained(u.withColumnRenamed("unit_id", "i"), q.withColumnRenamed("quote_id", "o"), key).select(F.col("i").alias("unit_id"), F.col("o").alias("quote_id"))
+    return a.unionByName(b).distinct().join(quotes.select("quote_id", "codes"), "quote_id").select("unit_id", "quote_id", "codes")
 
 
 def build_frame(quotes: DataFrame, units: DataFrame, key: str = "respondent") -> DataFrame:

@@ -9,12 +9,15 @@ from codeloom.functions.labels import dimension_of, framework_rows, polarity_of
 
 
 def first_rows(records: DataFrame) -> DataFrame:
-    """One row per record_id: the one saved last (ties: received last). Null ids are kept as they are.
+    """One row per record_id: the one saved last (ties: received last). Rows without an id are kept as they are.
 
-    Only the key and the row's rank are compared; the nested columns travel once.
+    An aggregate per column: repeated rows are reduced before the shuffle, and columns that
+    nobody reads are pruned.
     """
-    w = Window.partitionBy("record_id").orderBy(F.desc_nulls_last("saved_at"), F.desc_nulls_last("received_at"))
-    return records.withColumn("__rn", F.row_number().over(w)).filter("record_id is null or __rn = 1").drop("__rn")
+    order = F.struct("saved_at", "received_at")
+    others = [c for c in records.columns if c != "record_id"]
+    kept = records.filter("record_id is not null").groupBy("record_id").agg(*[F.max_by(c, order).alias(c) for c in others])
+    return kept.select(*records.columns).unionByName(records.filter("record_id is null"))
 
 
 def segments_of(records: DataFrame, lists: tuple[str, ...] = ("segments",)) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.arrays import sorted_set
+from codeloom.functions.distributed import running
 
 STATUSES = ("pending", "confirmed", "modified", "added", "deleted")
 
@@ -136,6 +137,5 @@ def replay(events: DataFrame) -> DataFrame:
 
 
 def saturation(steps: DataFrame, order: list[str], partition: list[str]) -> DataFrame:
-    """Running total of newly created codes over windows in order, per ``partition``."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("n", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).withColumn("cumulative", F.sum("created").over(w))
+    """Running number ``n`` and total ``cumulative`` of newly created codes over windows in order, per ``partition``."""
+    return running(steps, order, partition, total="created", number="n")

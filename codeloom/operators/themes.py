@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.distributed import running
+
 #: Most codes that are clustered as a whole (a codebook or framework, not a corpus).
 MAX_CODES = 5_000
 
@@ -114,12 +116,12 @@ def cluster_dimension(clusters: DataFrame, code_dimension: DataFrame) -> DataFra
 def first_order_items(long: DataFrame) -> DataFrame:
     """Segments as items (global_id, respondent, segment_id, quote, existing_codes), numbered by record and position."""
     seg = long.groupBy("record_id", "seg_pos").agg(F.first("respondent").alias("respondent"), F.first("segment_id").alias("segment_id"), F.first("quote").alias("quote"), F.array_sort(F.collect_set("code")).alias("existing_codes"))
-    return seg.withColumn("global_id", F.format_string("G%04d", F.row_number().over(Window.orderBy("record_id", "seg_pos"))))
+    return running(seg, ["record_id", "seg_pos"], number="__no").withColumn("global_id", F.format_string("G%04d", F.col("__no"))).drop("__no")
 
 
 def induce(items: DataFrame, generate: Callable[[list[dict]], list[dict]], batch: int = 60, done: DataFrame | None = None) -> DataFrame:
     """Provisional themes per batch of items from an injected generator: (batch, themes JSON, error). Batches in ``done`` are skipped."""
-    numbered = items.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("global_id")) - 1) / batch).cast("int"))
+    numbered = running(items, ["global_id"], number="__no").withColumn("batch", F.floor((F.col("__no") - 1) / batch).cast("int")).drop("__no")
     if done is not None:
         numbered = numbered.join(done.select("batch").distinct(), "batch", "left_anti")
 

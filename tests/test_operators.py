@@ -404,3 +404,25 @@ def test_segmenter(spark):
     s = lexicon.Segmenter(["data analysis", "資料分析", "資料"])
     assert s.split("Our data analysis of data: 資料分析很難") == ["our", "data analysis", "of", "data", "資料分析", "很", "難"] and s.split(None) == []
     assert lexicon.Segmenter([]).split("a b 中文") == ["a", "b", "中", "文"]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 50), st.integers(-5, 5)), max_size=40, unique_by=lambda x: x[:2]), st.integers(1, 5))
+def test_running_equals_window(spark, rows, parts):
+    from pyspark.sql import Window
+
+    from codeloom.functions.distributed import running
+
+    df = spark.createDataFrame(rows, "k string, o int, v long")
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("n", F.row_number().over(w)).withColumn("cumulative", F.sum("v").over(w)).collect()
+    assert sorted(map(tuple, running(df, ["o"], ["k"], total="v", number="n", parts=parts).collect())) == sorted(map(tuple, want))
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("xy"), st.text(alphabet="ab", max_size=16)), max_size=12), st.lists(st.tuples(st.sampled_from("xy"), st.text(alphabet="ab", max_size=30)), max_size=12))
+def test_contained_is_exact(spark, inner, outer):
+    i = spark.createDataFrame([(k, n, t) for n, (k, t) in enumerate(inner)], "k string, i int, t string")
+    o = spark.createDataFrame([(k, n, t) for n, (k, t) in enumerate(outer)], "k string, o int, t string")
+    want = {(n, m) for n, (k, t) in enumerate(inner) for m, (j, s) in enumerate(outer) if k == j and len(t) >= frame.LEAST and t in s}
+    assert {(r.i, r.o) for r in frame.contained(i, o, "k").collect()} == want
