@@ -222,7 +222,9 @@ def _fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, buckets: int
             gh = (g @ W.T) / lens[:, None]
             W -= lr * (h.T @ g)
             b -= lr * g.sum(0) * 0.1
-            np.add.at(vectors, flat, np.repeat(-lr * gh, lens, axis=0).astype(np.float32))
+            step = (-lr * gh).astype(np.float32)
+            for i, change in zip(pick, step):
+                vectors[bags[i]] += change
             done += 1
     return Model(vectors, W, b)
 
