@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codeloom.framework import Framework
 from codeloom.functions.arrays import sorted_set
 from codeloom.functions.stats import agreement_columns
+from codeloom.session import materialise
 
 #: Words that carry no topic, and those of them that never stand inside a term.
 STOP_EN = (
@@ -52,7 +53,8 @@ def discover_terms_en(texts: DataFrame, text: str = "text", most: int = 4, least
     sents = texts.filter(F.col(text).isNotNull()).select(F.explode(words(F.col(text))).alias("w")).filter(F.size("w") > 0)
     sized = lambda n: lambda g: F.struct(F.lit(n).alias("n"), g.alias("term"))
     grams = F.concat(*[F.transform(ngrams(F.col("w"), n), sized(n)) for n in range(1, most + 1)])
-    counts = sents.select(F.explode(grams).alias("g")).groupBy("g.n", "g.term").agg(F.count("*").alias("freq"))
+    # Written once: the counts are read four times.
+    counts = materialise(sents.select(F.explode(grams).alias("g")).groupBy("g.n", "g.term").agg(F.count("*").alias("freq")), "ngrams")
     uni = counts.filter("n = 1").select(F.col("term").alias("word"), F.col("freq").alias("f"))
     total = uni.agg(F.sum("f").cast("double").alias("total"))
     frequent = counts.filter(F.col("freq") >= least)
@@ -81,7 +83,7 @@ def discover_terms_cjk(texts: DataFrame, text: str = "text", most: int = 6, leas
     gram = lambda k: lambda i: F.struct(
         F.lit(k).alias("n"), F.col("r").substr(i, F.lit(k)).alias("s"), edge(F.when(i > 1, F.col("r").substr(i - 1, F.lit(1))).otherwise("")).alias("l"), edge(F.col("r").substr(i + k, F.lit(1))).alias("rt"))
     grams = F.concat(*[F.transform(at(n), gram(n)) for n in range(1, most + 1)])
-    rows = runs.select(F.explode(grams).alias("g")).groupBy("g.n", "g.s", "g.l", "g.rt").agg(F.count("*").alias("c"))
+    rows = materialise(runs.select(F.explode(grams).alias("g")).groupBy("g.n", "g.s", "g.l", "g.rt").agg(F.count("*").alias("c")), "grams")
     counts = rows.groupBy("n", "s").agg(F.sum("c").alias("freq"))
     total = counts.filter("n = 1").agg(F.sum("freq").cast("double").alias("total"))
     keep = counts.filter((F.col("n") > 1) & (F.col("freq") >= least))
@@ -109,7 +111,7 @@ def log_odds(tokens: DataFrame, least: int = 3, top: int | None = 30, prior: flo
     at least ``least`` occurrences), of strength ``prior`` (default: its size). Stop words are
     dropped after the counts, before the top.
     """
-    ct = tokens.filter("code is not null and term is not null").groupBy("code", "term").agg(F.count("*").alias("count_in"))
+    ct = materialise(tokens.filter("code is not null and term is not null").groupBy("code", "term").agg(F.count("*").alias("count_in")), "terms")
     bg = ct.groupBy("term").agg(F.sum("count_in").alias("total")).filter(F.col("total") >= least)
     n_code = ct.join(bg.select("term"), "term", "left_semi").groupBy("code").agg(F.sum("count_in").cast("double").alias("ni"))
     whole = bg.agg(F.sum("total").cast("double").alias("big"))
