@@ -74,7 +74,9 @@ def pack(
 
     ``limits`` has limit_id and capacity_tokens (at most MAX_LIMITS rows are accepted; they
     are configuration); capacities that are null or not positive are skipped. The attention
-    capacity is cost_factor * capacity**2. ``groups`` defaults to one per ``block`` items.
+    capacity is cost_factor * capacity**2: at 1 it excludes nothing that the token capacity
+    allows and only weighs in the choice; below 1 it also keeps long items apart, and an
+    item that alone exceeds it gets a container of its own. ``groups`` defaults to one per ``block`` items.
     """
     caps = [(int(r.limit_id), int(r.capacity_tokens)) for r in limits.filter("limit_id is not null and capacity_tokens > 0").select("limit_id", "capacity_tokens").distinct().limit(MAX_LIMITS + 1).collect()]
     if len(caps) > MAX_LIMITS:
