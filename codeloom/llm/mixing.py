@@ -63,12 +63,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int = 60_00
             open_ -= k * int(lengths[i])
             if open_ <= slack:
                 break
-    able = np.flatnonzero((free > 0) & (lengths <= open_ + int(lengths.min())))
+    # Taking nothing misses by ``open_``, so a sum of twice that or more is never the nearest.
+    able = np.flatnonzero((free > 0) & (lengths <= 2 * open_))
     if len(able) > distinct:
         # The shortest lengths decide how fine a sum can be; the others are a seeded choice.
         short = able[np.argsort(lengths[able], kind="stable")[: distinct // 2]]
         able = np.r_[short, rng.choice(np.setdiff1d(able, short), distinct - len(short), replace=False)]
-    cap = open_ + int(lengths[able].min()) if len(able) else 0
+    cap = 2 * open_
     mask = (1 << (cap + 1)) - 1
     reach, steps = 1, []
     for i in able:
