@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.distributed import running
@@ -146,22 +146,24 @@ def code_transcripts(docs: DataFrame, key: str, coder: Callable[[str, int], list
     return merge_segments(rows, key)
 
 
-def yield_report(docs: DataFrame, segments: DataFrame, key: str, dimensions: list[str]) -> DataFrame:
+def yield_report(docs: DataFrame, segments: DataFrame, key: str, dimensions: list[str] | Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: characters, segments, per 10,000 characters, and flags.
 
     low_yield (under 3 per 10,000 from 2,000 characters on), one_per_dimension (as many
     segments as dimensions, one each), missing_dimension (a dimension never used from 5,000
     characters on). ``segments``: key, dimensions (array). Documents without segments stay.
+    ``dimensions`` are those of all documents, or a column of ``docs`` with those of each; ``keep`` are further columns of ``docs`` to keep.
     """
     agg = segments.groupBy(key).agg(F.count("*").alias("segments"), F.collect_list(F.array_join(F.array_sort(F.array_distinct("dimensions")), "/")).alias("sets"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("dimensions")))).alias("used"))
-    out = docs.select(key, F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(agg, key, "left").fillna(0, ["segments"])
+    wanted = dimensions if isinstance(dimensions, Column) else F.array(*map(F.lit, dimensions))
+    out = docs.select(*keep, key, F.coalesce(F.length("text"), F.lit(0)).alias("chars"), wanted.alias("wanted")).join(agg, key, "left").fillna(0, ["segments"])
     per = F.try_divide(F.col("segments") * F.lit(10000.0), F.col("chars").cast("double"))
-    one_each = (F.col("segments") == len(dimensions)) & (F.size(F.array_distinct("sets")) == F.col("segments")) & F.forall("sets", lambda s: ~s.contains("/"))
-    missing = F.array_except(F.array(*[F.lit(d) for d in dimensions]), F.coalesce("used", F.array().cast("array<string>")))
+    one_each = (F.col("segments") == F.size("wanted")) & (F.size(F.array_distinct("sets")) == F.col("segments")) & F.forall("sets", lambda s: ~s.contains("/"))
+    missing = F.array_except("wanted", F.coalesce("used", F.array().cast("array<string>")))
     flags = F.array_compact(F.array(
         F.when((F.col("chars") >= LEAST_CHARS) & (per < LOW_YIELD), "low_yield"), F.when(F.coalesce(one_each, F.lit(False)), "one_per_dimension"),
         F.when((F.col("chars") >= DIMENSION_CHARS) & (F.size(missing) > 0), "missing_dimension")))
-    return out.select(key, "chars", "segments", per.alias("per_10k"), F.array_join(flags, "/").alias("flags"))
+    return out.select(*keep, key, "chars", "segments", per.alias("per_10k"), F.array_join(flags, "/").alias("flags"))
 
 
 def merge_respondent(names: DataFrame, keys: list[str]) -> DataFrame:

@@ -108,6 +108,28 @@ def stratified_sample(frame: DataFrame, codes: list[str], n: int = 100, seed: in
     return picked.withColumn("draw", F.row_number().over(Window.orderBy(again, "unit_id"))).select("unit_id", "draw")
 
 
+def stratified_samples(frame: DataFrame, codes: Column, key: str = "framework_id", n: int = 100, seed: int = 42, per_code: int = 4, unmarked_share: float = 0.35) -> DataFrame:
+    """``stratified_sample`` of every ``key`` at once: (key, unit_id, draw). ``codes`` is a column of the row's codes."""
+    rows = frame.select(key, "unit_id", sorted_set(F.col("ai_codes")).alias("codes"), codes.alias("order"), F.xxhash64(F.lit(seed), "unit_id").alias("h"))
+    first_code = F.array_min(F.transform(F.array_intersect("codes", "order"), lambda c: F.array_position("order", c)))
+    rows = rows.select(key, "unit_id", "h", (F.size("codes") > 0).alias("marked"), first_code.alias("code"))
+    totals = rows.groupBy(F.col(key).alias("__key")).agg(F.sum(F.col("marked").cast("int")).alias("m"), F.sum((~F.col("marked")).cast("int")).alias("u"))
+    # Only the first n of a stratum can be drawn: Spark limits these ranks before the shuffle.
+    rank = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(key, *by).orderBy("h", "unit_id")))
+    marked = rank(rows.filter("marked"), "code").filter(F.col("r") <= max(n, per_code))
+    is_quota = (F.col("r") <= per_code) & F.col("code").isNotNull()
+    quota, others = marked.filter(is_quota), rank(marked.filter(~is_quota).drop("r")).filter(F.col("r") <= n)
+    got = quota.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("got"))
+    k_un = F.least("u", F.lit(round(n * unmarked_share)))
+    room = totals.join(got.withColumnRenamed("__key", "__k"), F.col("__key").eqNullSafe(F.col("__k")), "left").select(
+        "__key", F.when(F.col("m") > 0, k_un).otherwise(n).alias("blank"), F.when(F.col("m") > 0, F.greatest(F.lit(0), F.least("m", n - k_un) - F.coalesce("got", F.lit(0)))).otherwise(0).alias("rest"))
+    fit = lambda df, c: df.join(room, F.col(key).eqNullSafe(F.col("__key"))).filter(F.col("r") <= F.col(c)).select(key, "unit_id")
+    blank = rank(rows.filter("not marked")).filter(F.col("r") <= n)
+    picked = quota.select(key, "unit_id").unionByName(fit(others, "rest")).unionByName(fit(blank, "blank"))
+    again = F.xxhash64(F.lit(seed + 1), "unit_id")
+    return picked.withColumn("draw", F.row_number().over(Window.partitionBy(key).orderBy(again, "unit_id"))).select(key, "unit_id", "draw")
+
+
 def frame_counts(units: DataFrame) -> DataFrame:
     """Units per role and how many are excluded from the frame."""
     return units.groupBy("role").agg(F.count("*").alias("n")).withColumn("in_frame", F.col("role") == "respondent")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -224,41 +224,53 @@ class DictionaryCoder:
         return out
 
 
-def dictionary_codes(df: DataFrame, coder: DictionaryCoder, text: str = "text", name: str = "dictionary_codes") -> DataFrame:
-    """Adds the dictionary coder's codes; the lexicon travels with the function (it is configuration)."""
+def dictionary_codes(df: DataFrame, coder: DictionaryCoder | dict[str, DictionaryCoder], text: str = "text", name: str = "dictionary_codes", key: str = "framework_id") -> DataFrame:
+    """Adds the dictionary coder's codes; the lexicon travels with the function (it is configuration).
+
+    Of several coders the one under the row's ``key`` is taken; null where there is none.
+    """
 
     @F.pandas_udf("array<string>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(coder.codes)
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for s, k in parts:
+            own = [(coder.get(x) if isinstance(coder, dict) else coder) for x in k]
+            yield pd.Series([c.codes(t) if c else None for c, t in zip(own, s)], dtype=object)
 
-    return df.withColumn(name, run(F.col(text)))
+    return df.withColumn(name, run(F.col(text), F.col(key) if isinstance(coder, dict) else F.lit("")))
 
 
-def compare_coders(rows: DataFrame, codes: list[str], a: str = "codes", b: str = "dictionary_codes") -> DataFrame:
-    """Per code: counts of both, P, R, F1 (null unless P + R > 0) and kappa of two code arrays."""
-    cells = F.array(*[F.struct(F.lit(c).alias("code"), F.array_contains(sorted_set(F.col(a)), c).alias("a"), F.array_contains(sorted_set(F.col(b)), c).alias("b")) for c in codes])
-    x = rows.select(F.explode(cells).alias("x")).select("x.*")
+def compare_coders(rows: DataFrame, codes: list[str] | Column, a: str = "codes", b: str = "dictionary_codes", keys: Sequence[str] = ()) -> DataFrame:
+    """Per code (and ``keys``; ``codes`` is then a column of the row's codes): counts of both, P, R, F1 (null unless P + R > 0) and kappa of two code arrays."""
+    wanted = codes if isinstance(codes, Column) else F.array(*map(F.lit, codes))
+    cells = F.transform(wanted, lambda c: F.struct(c.alias("code"), F.array_contains(sorted_set(F.col(a)), c).alias("a"), F.array_contains(sorted_set(F.col(b)), c).alias("b")))
+    x = rows.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.*")
     one = lambda c: F.sum(c.cast("int"))
-    g = x.groupBy("code").agg(F.count("*").alias("n"), one(F.col("a") & F.col("b")).alias("both_yes"), one(~F.col("a") & ~F.col("b")).alias("neither"), one(F.col("a") & ~F.col("b")).alias("only_a"), one(~F.col("a") & F.col("b")).alias("only_b"))
+    g = x.groupBy(*keys, "code").agg(F.count("*").alias("n"), one(F.col("a") & F.col("b")).alias("both_yes"), one(~F.col("a") & ~F.col("b")).alias("neither"), one(F.col("a") & ~F.col("b")).alias("only_a"), one(~F.col("a") & F.col("b")).alias("only_b"))
     d = lambda c: F.col(c).cast("double")
     p, r = F.try_divide(d("both_yes"), d("both_yes") + d("only_b")), F.try_divide(d("both_yes"), d("both_yes") + d("only_a"))
     k = agreement_columns(*(F.col(c) for c in ("n", "both_yes", "neither", "only_a", "only_b")))["kappa"]
     return g.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))).withColumn("kappa", k)
 
 
-def audit_llm(rows: DataFrame, coder: DictionaryCoder, miss: float = 2.0, text: str = "text") -> DataFrame:
-    """Codes given with dictionary score 0 (over) and dictionary scores of at least ``miss`` without the code (miss)."""
+def audit_llm(rows: DataFrame, coder: DictionaryCoder | dict[str, DictionaryCoder], miss: float = 2.0, text: str = "text", key: str = "framework_id") -> DataFrame:
+    """Codes given with dictionary score 0 (over) and dictionary scores of at least ``miss`` without the code (miss).
+
+    Of several coders the one under the row's ``key`` (a column of the result then) is taken; without one a row cannot be audited and gives none.
+    """
+    keys = [key] if isinstance(coder, dict) else []
+
+    def score(t: str | None, c: DictionaryCoder | None) -> list[dict] | None:
+        return None if c is None else [{"code": c.fw.code_of(d, p or None), "score": v} for (d, p), v in c.scores(t).items() if c.fw.code_of(d, p or None)]
 
     @F.pandas_udf("array<struct<code:string,score:double>>")
-    def scored(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"code": coder.fw.code_of(d, p or None), "score": v} for (d, p), v in coder.scores(t).items() if coder.fw.code_of(d, p or None)])
+    def scored(s: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([score(t, coder.get(x) if isinstance(coder, dict) else coder) for t, x in zip(s, k)], dtype=object)
 
-    x = rows.withColumn("s", scored(F.col(text)))
+    x = rows.withColumn("s", scored(F.col(text), F.col(key) if keys else F.lit(""))).filter("s is not null")
     given = lambda c: F.array_contains("codes", c)
     over = F.transform(F.filter("codes", lambda c: ~F.exists("s", lambda y: (y["code"] == c) & (y["score"] > 0))), lambda c: F.struct(c.alias("code"), F.lit(0.0).alias("score"), F.lit("over").alias("kind")))
     missed = F.transform(F.filter("s", lambda y: (y["score"] >= miss) & ~given(y["code"])), lambda y: F.struct(y["code"].alias("code"), y["score"].alias("score"), F.lit("miss").alias("kind")))
-    return x.select("unit_id", F.explode(F.concat(over, missed)).alias("a"), F.substring(text, 1, 120).alias("excerpt")).select("unit_id", "a.*", "excerpt")
+    return x.select(*keys, "unit_id", F.explode(F.concat(over, missed)).alias("a"), F.substring(text, 1, 120).alias("excerpt")).select(*keys, "unit_id", "a.*", "excerpt")
 
 
 def vocabulary(lexicon_terms: DataFrame, discovered: DataFrame) -> DataFrame:

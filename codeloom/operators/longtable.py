@@ -44,6 +44,30 @@ def code_string(rows: list, framework: Column, dimension: Column, polarity: Colu
     return F.concat(short, F.when(polarity == "", "").otherwise(F.concat(F.lit("-"), polarity)))
 
 
+def codes_of(rows: list, framework: Column) -> Column:
+    """All codes of the framework in its order; an empty array where ``rows`` hold no such framework."""
+    own: dict[str, list[str]] = {}
+    for r in rows:
+        own.setdefault(r.framework_id, []).extend(f"{r.short_code}-{p}" for p in r.polarity_values) if r.polarity_values else own.setdefault(r.framework_id, []).append(r.short_code)
+    return _lookup(own, framework)
+
+
+def dimensions_of(rows: list, framework: Column, field: str = "short_code") -> Column:
+    """``field`` of all dimensions of the framework in its order; an empty array where ``rows`` hold no such framework."""
+    own: dict[str, list[str]] = {}
+    for r in rows:
+        own.setdefault(r.framework_id, []).append(r[field])
+    return _lookup(own, framework)
+
+
+def _lookup(lists: dict[str, list[str]], key: Column) -> Column:
+    none = F.array().cast("array<string>")
+    if not lists:
+        return none
+    known = F.create_map(*[x for k, v in lists.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.coalesce(F.try_element_at(known, key), none)
+
+
 def build_long(records: DataFrame, frameworks: DataFrame) -> DataFrame:
     """(record_id, respondent, framework_id, seg_pos, segment_id, dimension, polarity, code, rationale,
     multi_coded, codes_in_segment, title, quote, full_text, status, source, endpoint, descriptors).

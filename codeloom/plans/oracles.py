@@ -50,6 +50,17 @@ _HUB = f"""WITH u AS (SELECT unit_id, framework_id, ai_codes FROM units WHERE fr
  codelist AS (SELECT unnest(['ANT-P','ANT-N','ENG-P','ENG-N','REF-P','REF-N','RES-P','RES-N']) AS code),
  cells AS (SELECT unit_id, code, list_contains(codes_a, code) AS a, list_contains(codes_b, code) AS b FROM hub CROSS JOIN codelist)"""
 
+_ALL = f"""WITH u AS (SELECT unit_id, framework_id, ai_codes FROM units),
+ j AS MATERIALIZED (SELECT row_number() OVER () AS rid, c.unit_id, lower(trim(c.coder)) AS coder, c.codes, c.coded_at, c.received_at, u.framework_id FROM codings c JOIN u USING (unit_id)),
+ entry AS (SELECT rid, framework_id, x.dimension AS raw, x.polarity AS rawp FROM (SELECT rid, framework_id, unnest(codes) AS x FROM j)),
+ {spelling("entry")},
+ clean AS (SELECT e.rid, h.short_code, ({_POLARITY}) AS p FROM entry e JOIN spell sp ON sp.framework_id = e.framework_id AND sp.raw = e.raw JOIN poles po ON po.framework_id = e.framework_id JOIN shorts h ON h.framework_id = e.framework_id AND h.dimension = sp.dimension),
+ sets AS (SELECT rid, list_sort(list_distinct(list(CASE WHEN p = '' THEN short_code ELSE short_code || '-' || p END) FILTER (p IS NOT NULL))) AS codes FROM clean GROUP BY 1),
+ judged AS (SELECT j.unit_id, j.coder, j.framework_id, coalesce(s.codes, []) AS codes FROM j LEFT JOIN sets s USING (rid) QUALIFY row_number() OVER (PARTITION BY j.unit_id, j.coder ORDER BY coded_at DESC, received_at DESC, coalesce(s.codes, []) DESC) = 1),
+ hub AS (SELECT l.framework_id, l.coder, l.unit_id, l.codes AS codes_a, coalesce(list_sort(list_distinct(u.ai_codes)), []) AS codes_b FROM judged l JOIN u USING (unit_id)),
+ codelist AS (SELECT framework_id, short_code AS code FROM frameworks WHERE len(polarity_values) = 0 UNION ALL SELECT framework_id, short_code || '-' || unnest(polarity_values) FROM frameworks),
+ cells AS (SELECT framework_id, coder, unit_id, code, list_contains(codes_a, code) AS a, list_contains(codes_b, code) AS b FROM hub JOIN codelist USING (framework_id))"""
+
 _COUNTS = "count(*) AS n, count(*) FILTER (a AND b) AS both_yes, count(*) FILTER (NOT a AND NOT b) AS neither, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b"
 
 
@@ -206,4 +217,16 @@ SQL: dict[str, str] = {
     "dimension_labels": "SELECT framework_id || '.' || dimension AS key, coalesce(label_zh, label_en, framework_id || '.' || dimension) AS label FROM frameworks",
     "methods_facts": _EVENTS + """, e AS (SELECT unnest(s.review.history) AS e FROM seg), a AS (SELECT count(*) AS records, count(DISTINCT respondent) AS respondents, array_to_string(list_sort(list(DISTINCT _meta.framework_id)), ', ') AS frameworks, array_to_string(list_sort(list(DISTINCT _meta.endpoint.model) FILTER (_meta.endpoint.model IS NOT NULL)), ', ') AS models FROM rec),
  b AS (SELECT count(*) AS events, count(DISTINCT e.reviewer) AS reviewers FROM e WHERE e IS NOT NULL) SELECT * FROM a, b""",
+    "kappa_per_code_all": f"{_ALL}{_kappa('cells', 'framework_id, coder, code')} SELECT framework_id, coder, code, n, both_yes, neither, only_a, only_b, {_K6}, {_BAND} FROM r",
+    "kappa_pooled_all": f"{_ALL}{_kappa('cells', 'framework_id, coder')} SELECT framework_id, coder, n, both_yes, neither, only_a, only_b, {_K6} FROM r",
+    "exact_set_all": f"{_ALL} SELECT framework_id, coder, count(*) AS n, round(avg(CASE WHEN codes_a = codes_b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS exact FROM hub GROUP BY 1, 2",
+    "precision_recall_all": f"""{_ALL}, t AS (SELECT framework_id, coder, code, count(*) FILTER (a AND b) AS tp, count(*) FILTER (NOT a AND b) AS fp, count(*) FILTER (a AND NOT b) AS fn FROM cells GROUP BY 1, 2, 3), q AS (SELECT *, tp / nullif(tp + fp, 0)::DOUBLE AS p, tp / nullif(tp + fn, 0)::DOUBLE AS r FROM t)
+ SELECT framework_id, coder, code, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p > 0 AND r > 0 THEN 2 * p * r / (p + r) END, 9) AS f1 FROM q""",
+    "dimension_confusion_all": f"""{_ALL}, d AS (SELECT framework_id, coder, CASE WHEN len(codes_a) = 0 THEN ['__none__'] ELSE list_distinct(list_transform(codes_a, lambda x: split_part(x, '-', 1))) END AS a, CASE WHEN len(codes_b) = 0 THEN ['__none__'] ELSE list_distinct(list_transform(codes_b, lambda x: split_part(x, '-', 1))) END AS b FROM hub),
+ e AS (SELECT framework_id, coder, unnest(a) AS dim_a, b FROM d), f AS (SELECT framework_id, coder, dim_a, unnest(b) AS dim_b FROM e) SELECT framework_id, coder, dim_a, dim_b, count(*) AS n FROM f GROUP BY 1, 2, 3, 4""",
+    "polarity_confusion_all": f"""{_ALL}, d AS (SELECT framework_id, coder, codes_a, codes_b, unnest(list_distinct(list_intersect(list_transform(codes_a, lambda x: split_part(x, '-', 1)), list_transform(codes_b, lambda x: split_part(x, '-', 1))))) AS dimension FROM hub),
+ e AS (SELECT framework_id, coder, dimension, list_filter(codes_a, lambda x: split_part(x, '-', 1) = dimension) = list_filter(codes_b, lambda x: split_part(x, '-', 1) = dimension) AS same FROM d) SELECT framework_id, coder, dimension, count(*) FILTER (same) AS agree, count(*) FILTER (NOT same) AS conflict FROM e GROUP BY 1, 2, 3""",
+    "dimension_agreement_all": f"""{_ALL}, dcells AS (SELECT h.framework_id, coder, unit_id, short_code AS code, len(list_filter(codes_a, lambda x: split_part(x, '-', 1) = short_code)) > 0 AS a, len(list_filter(codes_b, lambda x: split_part(x, '-', 1) = short_code)) > 0 AS b FROM hub h JOIN shorts USING (framework_id)){_kappa('dcells', 'framework_id, coder, code')} SELECT framework_id, coder, code, n, both_yes, neither, only_a, only_b, round(kappa, 9) AS kappa FROM r""",
+    "disagreements_all": f"""{_ALL}, x AS (SELECT framework_id, coder, unit_id, codes_a, codes_b, list_sort(list_distinct(list_transform(codes_a, lambda x: split_part(x, '-', 1)))) AS da, list_sort(list_distinct(list_transform(codes_b, lambda x: split_part(x, '-', 1)))) AS db FROM hub WHERE codes_a <> codes_b)
+ SELECT framework_id, coder, unit_id, CASE WHEN len(codes_a) = 0 OR len(codes_b) = 0 THEN 'presence' WHEN da = db THEN 'polarity' ELSE 'dimension' END AS kind, array_to_string(list_filter(codes_a, lambda x: NOT list_contains(codes_b, x)), '/') AS only_a, array_to_string(list_filter(codes_b, lambda x: NOT list_contains(codes_a, x)), '/') AS only_b FROM x""",
 }

@@ -318,11 +318,12 @@ def merged_descriptors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def yield_report(spark: SparkSession, d: str) -> DataFrame:
-    """Codes per 10,000 characters of transcript, with flags."""
-    r = _records(spark, d).filter(f"_meta.framework_id = '{FRAMEWORK}'")
+    """Codes per 10,000 characters of transcript, with flags, by the dimensions of each record's framework."""
+    r = _records(spark, d).withColumn("framework_id", F.col("_meta.framework_id"))
+    wanted = longtable.dimensions_of(framework_rows(_t(spark, d, "frameworks")), F.col("framework_id"), "dimension")
     seg = longtable.build_long(r, _t(spark, d, "frameworks")).groupBy("record_id", "seg_pos").agg(F.collect_set("dimension").alias("dimensions")).select("record_id", "dimensions")
-    out = coding.yield_report(r.select("record_id", F.col("transcript").alias("text")), seg, "record_id", ["anticipation", "engagement", "reflexivity", "responsiveness"])
-    return out.select("record_id", "chars", "segments", r9("per_10k"), "flags")
+    out = coding.yield_report(r.select("record_id", "framework_id", F.col("transcript").alias("text")), seg, "record_id", wanted, ("framework_id",))
+    return out.select("framework_id", "record_id", "chars", "segments", r9("per_10k"), "flags")
 
 
 @query
@@ -332,7 +333,7 @@ def resume(spark: SparkSession, d: str) -> DataFrame:
     return coding.already_done(docs, _t(spark, d, "records").filter("transcript_file is not null"), ["transcript_file"])
 
 
-# --- agreement: the coder with most judgements against the model's codes -------------------------
+# --- agreement: the coder with most judgements against the model's codes (its SQL reads this part only; the _all queries read all) ---
 
 
 def _hub(spark: SparkSession, d: str) -> DataFrame:
@@ -398,11 +399,73 @@ def disagreements(spark: SparkSession, d: str) -> DataFrame:
     return agreement.disagreements(_hub(spark, d)).select("unit_id", "kind", "only_a", "only_b")
 
 
+# --- the same for every coder and every framework -----------------------------------------------
+
+_PAIR = ["framework_id", "coder"]
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(framework_id, coder, unit_id, codes_a of the coder, codes_b of the model, wanted, dims) for every judged unit.
+
+    Coders are the same if their names differ only in case or outer blanks; of several
+    judgements the latest holds. wanted and dims are the framework's codes and dimensions.
+    """
+    rows = framework_rows(_t(spark, d, "frameworks"))
+    fw = F.col("framework_id")
+    u = _t(spark, d, "units").select("unit_id", "framework_id", sorted_set(F.col("ai_codes")).alias("codes_b"))
+    c = _t(spark, d, "codings").select("unit_id", F.lower(F.trim("coder")).alias("coder"), "codes", "coded_at", "received_at").join(u.select("unit_id", "framework_id"), "unit_id")
+    one = lambda x: longtable.code_string(rows, fw, longtable.dimension_of(rows, fw, x["dimension"]), longtable.polarity_of(rows, fw, x["polarity"]))
+    j = F.struct("coded_at", "received_at", sorted_set(F.transform("codes", one)).alias("codes"))
+    a = c.groupBy("unit_id", "coder").agg(F.max(j).alias("j")).select("unit_id", "coder", F.col("j.codes").alias("codes_a"))
+    return a.join(u, "unit_id").select(*_PAIR, "unit_id", "codes_a", "codes_b", longtable.codes_of(rows, fw).alias("wanted"), longtable.dimensions_of(rows, fw).alias("dims"))
+
+
+@query
+def kappa_per_code_all(spark: SparkSession, d: str) -> DataFrame:
+    k = agreement.with_bands(agreement.per_code(_pairs(spark, d), F.col("wanted"), _PAIR))
+    return k.select(*_PAIR, "code", "n", "both_yes", "neither", "only_a", "only_b", *[r9(c) for c in _KAPPA], "band", "paradox")
+
+
+@query
+def kappa_pooled_all(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.pooled(_pairs(spark, d), F.col("wanted"), _PAIR).select(*_PAIR, "n", "both_yes", "neither", "only_a", "only_b", *[r9(c) for c in _KAPPA])
+
+
+@query
+def exact_set_all(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.exact_set(_pairs(spark, d), _PAIR).select(*_PAIR, "n", r9("exact"))
+
+
+@query
+def precision_recall_all(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.precision_recall(_pairs(spark, d), F.col("wanted"), _PAIR).select(*_PAIR, "code", "tp", "fp", "fn", r9("precision"), r9("recall"), r9("f1"))
+
+
+@query
+def dimension_confusion_all(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.dimension_confusion(_pairs(spark, d), keys=_PAIR)
+
+
+@query
+def polarity_confusion_all(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.polarity_confusion(_pairs(spark, d), _PAIR)
+
+
+@query
+def dimension_agreement_all(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.dimension_agreement(_pairs(spark, d), F.col("dims"), _PAIR).select(*_PAIR, "code", "n", "both_yes", "neither", "only_a", "only_b", r9("kappa"))
+
+
+@query
+def disagreements_all(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.disagreements(_pairs(spark, d), _PAIR).select(*_PAIR, "unit_id", "kind", "only_a", "only_b")
+
+
 @query
 def adjudicated(spark: SparkSession, d: str) -> DataFrame:
-    """Every third disagreement left open, the others decided as both."""
-    rows = _hub(spark, d).withColumn("decision", F.when(F.crc32(F.col("unit_id")) % 3 > 0, "both_yes")).withColumn("custom_codes", F.array().cast("array<string>"))
-    return marks.adjudicate(rows).select("unit_id", F.array_join("codes", "/").alias("codes"), "undecided")
+    """Every third disagreement of every coder with the model left open, the others decided as both."""
+    rows = _pairs(spark, d).withColumn("decision", F.when(F.crc32(F.col("unit_id")) % 3 > 0, "both_yes")).withColumn("custom_codes", F.array().cast("array<string>"))
+    return marks.adjudicate(rows).select(*_PAIR, "unit_id", F.array_join("codes", "/").alias("codes"), "undecided")
 
 
 @query
@@ -419,8 +482,8 @@ def strata(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sample_units(spark: SparkSession, d: str) -> DataFrame:
-    """Stratified sample (a sampling operator)."""
-    return frame.stratified_sample(_t(spark, d, "units").filter(F.col("framework_id") == FRAMEWORK), CODES)
+    """Stratified sample of every framework's units (a sampling operator)."""
+    return frame.stratified_samples(_t(spark, d, "units"), longtable.codes_of(framework_rows(_t(spark, d, "frameworks")), F.col("framework_id")))
 
 
 @query
@@ -488,8 +551,18 @@ def log_odds(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.log_odds(t, top=None).select("code", "term", F.round("z", 6).alias("z"), F.round("log_odds", 6).alias("log_odds"), "count_in", "count_out")
 
 
-def _small_lexicon(spark: SparkSession, d: str) -> lexicon.DictionaryCoder:
-    fw = Framework.from_rows(framework_rows(_t(spark, d, "frameworks")), FRAMEWORK)
+def _small_lexicons(rows: list) -> dict[str, lexicon.DictionaryCoder]:
+    """A coder per framework: the small lexicon of ``FRAMEWORK``; of the others their labels, at the first pole where they have polarity."""
+    out = {}
+    for i in sorted({r.framework_id for r in rows}):
+        fw = Framework.from_rows(rows, i)
+        first = fw.polarities[0] if fw.polarities else ""
+        labels = tuple(dict.fromkeys((m.id, first, t) for m in fw.dimensions for _, x in m.labels if x for t in (x, x.lower())))
+        out[i] = _small_lexicon(fw) if i == FRAMEWORK else lexicon.DictionaryCoder(lexicon.Lexicon(terms=labels, negators=("not ", "never "), reported=("said", "told")), fw)
+    return out
+
+
+def _small_lexicon(fw: Framework) -> lexicon.DictionaryCoder:
     lex = lexicon.Lexicon(
         terms=(("responsiveness", "P", "changed course"), ("responsiveness", "N", "never replied"), ("engagement", "P", "kept asking"), ("engagement", "N", "Nobody asked"), ("reflexivity", "P", "I think"), ("anticipation", "N", "no plan"), ("anticipation", "P", "planned")),
         patterns=(("p1", "engagement", "N", r"without telling anyone"),), negators=("not ", "never "), intensifiers=("very ", "really "), pivots=("but ", "even though"), reported=("said", "told"))
@@ -498,21 +571,23 @@ def _small_lexicon(spark: SparkSession, d: str) -> lexicon.DictionaryCoder:
 
 @query
 def dictionary_codes(spark: SparkSession, d: str) -> DataFrame:
-    u = _t(spark, d, "units").filter(F.col("framework_id") == FRAMEWORK)
-    return lexicon.dictionary_codes(u.select("unit_id", "text"), _small_lexicon(spark, d)).select("unit_id", F.array_join("dictionary_codes", "/").alias("codes"))
+    """Codes of every unit by its framework's lexicon."""
+    u = _t(spark, d, "units").select("framework_id", "unit_id", "text")
+    return lexicon.dictionary_codes(u, _small_lexicons(framework_rows(_t(spark, d, "frameworks")))).select("framework_id", "unit_id", F.array_join("dictionary_codes", "/").alias("codes"))
 
 
 @query
 def compare_coders(spark: SparkSession, d: str) -> DataFrame:
-    u = _t(spark, d, "units").filter(F.col("framework_id") == FRAMEWORK)
-    coded = lexicon.dictionary_codes(u.select("unit_id", "text", F.col("ai_codes").alias("codes")), _small_lexicon(spark, d))
-    return lexicon.compare_coders(coded, CODES)
+    rows = framework_rows(_t(spark, d, "frameworks"))
+    u = _t(spark, d, "units").select("framework_id", "unit_id", "text", F.col("ai_codes").alias("codes"))
+    coded = lexicon.dictionary_codes(u, _small_lexicons(rows))
+    return lexicon.compare_coders(coded, longtable.codes_of(rows, F.col("framework_id")), keys=["framework_id"])
 
 
 @query
 def audit_llm(spark: SparkSession, d: str) -> DataFrame:
-    u = _t(spark, d, "units").filter(F.col("framework_id") == FRAMEWORK).select("unit_id", "text", sorted_set(F.col("ai_codes")).alias("codes"))
-    return lexicon.audit_llm(u, _small_lexicon(spark, d))
+    u = _t(spark, d, "units").select("framework_id", "unit_id", "text", sorted_set(F.col("ai_codes")).alias("codes"))
+    return lexicon.audit_llm(u, _small_lexicons(framework_rows(_t(spark, d, "frameworks"))))
 
 
 # --- open coding ------------------------------------------------------------------------------------
