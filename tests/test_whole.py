@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -49,3 +51,11 @@ def test_samples(spark, con):
     for fw, own in codes:
         assert got[fw] == {(r.unit_id, r.draw) for r in frame.stratified_sample(units.filter(F.col("framework_id") == fw), own).collect()}, fw
     assert len(got) == 4
+
+
+def test_records_without_segments(spark, tmp_path):
+    bare = [{"respondent": "A"}, {"segments": None}, {"segments": []}, {"windows": []}, {"segments": [{"codes": [{"dimension": "x"}, {"dimension": "y"}]}]}]
+    rows = [(1, json.dumps(bare)), (2, json.dumps({"respondent": "B", "segments": None})), (3, "{"), (4, json.dumps({"a": {"segments": [{}]}, "b": {"segments": []}}))]
+    spark.createDataFrame(rows, "raw_id bigint, payload string").write.parquet(str(tmp_path / "raw_records.parquet"))
+    got = sorted(tuple(r) for r in Q["p2_records"](spark, str(tmp_path)).select("raw_id", "rec_pos", "segments", "codes").collect())
+    assert got == [(1, 0, 0, 0), (1, 1, 0, 0), (1, 2, 0, 0), (1, 3, 0, 0), (1, 4, 1, 2), (2, 0, 0, 0), (4, 0, 0, 0), (4, 0, 1, 0)]
