@@ -22,6 +22,29 @@ STOP_EN = (
     "is am are was were be been being do does did have has had will would can could shall should may might must not no yes there here all any some each every both few more most other such only own same too very just also"
 ).split()
 INSIDE_EN = "and or but nor so yet if then than i you he she it we they me him her us them this that these those who whom which because".split()
+#: Characters that no Chinese term starts or ends with, and words that are no term in any framework.
+NO_LEAD_ZH = "的了嗎呢吧啦喔耶哦嘛之麼"
+NO_TAIL_ZH = "的很最都也就還卻並而把被是我你妳他她它這那其每各某另從對跟向給"
+FUNCTION_ZH = tuple(dict.fromkeys((
+    "我們 你們 他們 她們 它們 咱們 自己 大家 別人 人家 對方 "
+    "這個 那個 這些 那些 這樣 那樣 這種 那種 這邊 那邊 這裡 那裡 哪裡 哪些 哪個 "
+    "什麼 怎麼 怎樣 為何 多少 幾個 是否 "
+    "沒有 有些 有的 有一 有點 有時 沒什麼 "
+    "就是 但是 可是 還是 或是 於是 而是 不是 只是 也是 都是 就會 就要 才會 才能 "
+    "其實 然後 所以 因為 由於 雖然 不過 而且 並且 或者 甚至 反正 反而 倒是 "
+    "如果 假如 要是 除非 否則 不然 結果 總之 因此 於是乎 "
+    "比如 例如 譬如 比方 之類 什麼的 等等 "
+    "至於 關於 除了 之外 之後 之前 之間 以及 還有 另外 其他 其中 以外 以後 以來 "
+    "比較 非常 特別 相當 十分 稍微 有點 一點 一些 很多 許多 大量 少數 部分 "
+    "真的 確實 當然 一定 必須 應該 可能 或許 大概 也許 差不多 幾乎 幾乎沒有 "
+    "覺得 知道 認為 以為 想說 曉得 記得 發現 看到 聽到 講到 談到 提到 說到 "
+    "已經 開始 繼續 一直 常常 偶爾 現在 目前 以前 後來 最後 剛剛 等一下 馬上 "
+    "裡面 外面 上面 下面 前面 後面 旁邊 中間 當中 "
+    "一個 兩個 三個 一下 一樣 一起 一邊 一次 每次 這次 上次 下次 "
+    "時候 情況 狀況 東西 事情 地方 方面 部份 樣子 感覺 "
+    "可以 不能 不會 不要 不用 需要 想要 願意 敢說 "
+    "這麼 那麼 多麼 越來越 更加 尤其"
+).split()))
 #: Clause ends, for the dictionary coder.
 CLAUSE = r"[。！？；，、.!?;,\n]+"
 
@@ -31,6 +54,12 @@ def is_stop(term: Column) -> Column:
     return F.lower(term).isin(STOP_EN)
 
 
+def is_fragment_zh(term: Column) -> Column:
+    """Han strings that are a function word, or a piece cut at the wrong place: a bound first or last character, or a function word stuck to more."""
+    some = "|".join(map(re.escape, FUNCTION_ZH))
+    return term.rlike(f"^[{NO_LEAD_ZH}]|[{NO_TAIL_ZH}]$|^(?:{some})|(?:{some})$")
+
+
 def words(text: Column) -> Column:
     """Sentences of lower-case words: array<array<string>>."""
     return F.transform(F.split(F.lower(text), r"[.!?;:\n]+"), lambda s: F.regexp_extract_all(s, F.lit(r"[a-z][a-z'-]*"), F.lit(0)))
@@ -75,7 +104,9 @@ def discover_terms_cjk(texts: DataFrame, text: str = "text", most: int = 6, leas
 
     cohesion = the least ln(p(s) / (p(left) p(right))) over all splits; entropies are those of
     the neighbouring characters (a text's edge counts as one neighbour); score = cohesion + the
-    smaller entropy + ln(freq). Grams never cross other characters.
+    smaller entropy + ln(freq). Grams never cross other characters. Function words and
+    fragments (``is_fragment_zh``) are no terms, but count as parts and neighbours of others.
+    ``top`` is the report's length (None: all).
     """
     runs = texts.filter(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"[\x{4e00}-\x{9fff}]+"), F.lit(0))).alias("r"))
     at = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.length("r") - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= F.length("r"))
@@ -86,7 +117,7 @@ def discover_terms_cjk(texts: DataFrame, text: str = "text", most: int = 6, leas
     rows = materialise(runs.select(F.explode(grams).alias("g")).groupBy("g.n", "g.s", "g.l", "g.rt").agg(F.count("*").alias("c")), "grams")
     counts = rows.groupBy("n", "s").agg(F.sum("c").alias("freq"))
     total = counts.filter("n = 1").agg(F.sum("freq").cast("double").alias("total"))
-    keep = counts.filter((F.col("n") > 1) & (F.col("freq") >= least))
+    keep = counts.filter((F.col("n") > 1) & (F.col("freq") >= least) & ~is_fragment_zh(F.col("s")))
 
     def side(c: str, name: str) -> DataFrame:
         per = rows.join(keep.select("s"), "s", "left_semi").groupBy("s", c).agg(F.sum("c").alias("k"))

@@ -545,7 +545,7 @@ def discover_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def discover_terms_cjk(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.discover_terms_cjk(_t(spark, d, "documents").filter("lang = 'zh'"))
+    return lexicon.discover_terms_cjk(_t(spark, d, "documents").filter("lang = 'zh'"), top=None)
 
 
 @query

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from codeloom.operators import frame
+from codeloom.operators import frame, lexicon
 from tests.oracle import compare, tables
 
 SF = "/root/testdata/sf0.01"
@@ -59,3 +59,19 @@ def test_records_without_segments(spark, tmp_path):
     spark.createDataFrame(rows, "raw_id bigint, payload string").write.parquet(str(tmp_path / "raw_records.parquet"))
     got = sorted(tuple(r) for r in Q["p2_records"](spark, str(tmp_path)).select("raw_id", "rec_pos", "segments", "codes").collect())
     assert got == [(1, 0, 0, 0), (1, 1, 0, 0), (1, 2, 0, 0), (1, 3, 0, 0), (1, 4, 1, 2), (2, 0, 0, 0), (4, 0, 0, 0), (4, 0, 1, 0)]
+
+
+def test_cjk_fragments(spark):
+    texts = ["他談數據分析的人。", "小數據分析也難。", "我做數據分析！", "我們喝茶", "他說我們走", "和我們談"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.term for r in lexicon.discover_terms_cjk(df, pmi=0.0, entropy=0.0, top=None).collect()}
+    assert "數據分析" in got and "我們" not in got
+    assert not any(t.startswith(("的", "我們")) or t.endswith(("的", "也", "他", "我們")) for t in got)
+
+
+def test_cjk_all_terms(spark, tmp_path):
+    """More than 800 terms are reported."""
+    pairs = [chr(0x5000 + 2 * i) + chr(0x5001 + 2 * i) for i in range(820)]
+    rows = [(a + p + b, "zh") for p in pairs for a, b in (("天", "山"), ("水", "火"), ("木", "石"))]
+    spark.createDataFrame(rows, "text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert Q["discover_terms_cjk"](spark, str(tmp_path)).filter("length(term) = 2").count() > 800
