@@ -69,12 +69,14 @@ def fold(text: str) -> str:
     return t
 
 
-def pieces(text: str | None) -> Iterator[str]:
-    """Pieces of a text at stops and line ends, without speaker labels."""
+def pieces(text: str | None, labelled: bool = False) -> Iterator[str]:
+    """Pieces of a text at stops and line ends, without speaker labels; ``labelled`` gives those with a label as they are written, too."""
     for line in _SPLIT.split(text) if text else ():
         piece = _LABEL.sub("", line)
         if any(map(str.isalpha, piece)):
             yield piece
+        if labelled and len(piece) < len(line) and any(map(str.isalpha, line[: len(line) - len(piece)])):
+            yield line
 
 
 def sentences(text: str | None) -> list[str]:
@@ -167,9 +169,9 @@ class Model:
         return p
 
     def score(self, text: str | None) -> float:
-        """Score of a document: its worst sentence. Pieces met before are not folded again."""
+        """Score of a document: its worst sentence, with or without what looks like its label. Pieces met before are not folded again."""
         worst = 0.0
-        for piece in pieces(text):
+        for piece in pieces(text, labelled=True):
             p = self._raw.get(piece)
             if p is None:
                 p = self.score_sentence(fold(piece))

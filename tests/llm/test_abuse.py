@@ -43,3 +43,10 @@ def test_operator(spark):
     assert len(got) == len(docs) + 3 and got[9000] == got[9001] == got[9002] == 0 and all(0 <= v <= 1 for v in got.values())
     none = abuse.score_documents(df, reviews.filter("verdict = 'none'"))
     assert none.filter("abuse_score is not null").count() == 0 and none.count() == len(got)
+
+
+def test_labels_are_scored():
+    m = abuse.train([(t, v, 1) for t, _, v in corpus()], max_bags=2000)
+    assert m.score("[You map idiot, go away]") >= 0.6 and m.score("They met. (What a moron you are)") >= 0.6
+    assert m.score("Idiots_and_moron: at noon.") > m.score("at noon.")
+    assert list(abuse.pieces("[Laughs] Well.\nA: No.")) == ["Well.", "No."] and "你這白痴：走開" in abuse.pieces("你這白痴：走開", labelled=True)
