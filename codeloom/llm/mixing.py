@@ -41,7 +41,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int = 60_00
 
     Taking the bulk evenly leaves at least ``slack`` tokens open where there are as many;
     for these the sums reachable with the remaining counts are worked out exactly (bounded
-    knapsack on bit sets, over at most ``distinct`` lengths).
+    knapsack on bit sets, over at most ``distinct`` lengths; over all where these miss the budget).
     """
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -65,12 +65,25 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int = 60_00
                 break
     # Taking nothing misses by ``open_``, so a sum of twice that or more is never the nearest.
     able = np.flatnonzero((free > 0) & (lengths <= 2 * open_))
+    every = able
     if len(able) > distinct:
         # The shortest lengths decide how fine a sum can be; the others are a seeded choice.
         short = able[np.argsort(lengths[able], kind="stable")[: distinct // 2]]
         able = np.r_[short, rng.choice(np.setdiff1d(able, short), distinct - len(short), replace=False)]
     cap = 2 * open_
     mask = (1 << (cap + 1)) - 1
+    goal, steps = _nearest(able, lengths, free, open_, cap, mask)
+    if goal != open_ and len(able) < len(every):
+        goal, steps = _nearest(every, lengths, free, open_, cap, mask)
+    for i, part, before in reversed(steps):
+        if not (before >> goal) & 1:
+            take[i] += part
+            goal -= part * int(lengths[i])
+    return take
+
+
+def _nearest(able: np.ndarray, lengths: np.ndarray, free: np.ndarray, open_: int, cap: int, mask: int) -> tuple[int, list[tuple[int, int, int]]]:
+    """The reachable sum nearest to ``open_``, and (length's index, part, sums reachable before) per step."""
     reach, steps = 1, []
     for i in able:
         size, left, k = int(lengths[i]), int(min(free[i], cap // lengths[i])), 1
@@ -82,12 +95,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int = 60_00
     below = (reach & ((1 << (open_ + 1)) - 1)).bit_length() - 1
     above_bits = reach >> (open_ + 1)
     above = open_ + 1 + ((above_bits & -above_bits).bit_length() - 1) if above_bits else None
-    goal = above if above is not None and above - open_ < open_ - below else below
-    for i, part, before in reversed(steps):
-        if not (before >> goal) & 1:
-            take[i] += part
-            goal -= part * int(lengths[i])
-    return take
+    return (above if above is not None and above - open_ < open_ - below else below), steps
 
 
 def plan(counted: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7) -> DataFrame:

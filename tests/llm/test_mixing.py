@@ -64,3 +64,12 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "word " * 5000)], "doc_id int, text string")
     got = {r.doc_id: r.n_tokens for r in count_tokens(df, ["doc_id"]).collect()}
     assert got[1] == len(encoder().encode_ordinary("hello world")) and got[2] == got[3] == 0 and got[4] >= 5000
+
+
+def test_fit_reads_all_lengths_when_the_chosen_miss():
+    """Only the greatest length is odd, and an odd budget needs it whatever 8 lengths are chosen."""
+    for seed in range(6):
+        lengths = np.r_[np.arange(2, 122, 2), 1001]
+        counts = np.ones(len(lengths), np.int64)
+        take = mixing.fit(lengths, counts, 1301, distinct=8, seed=seed)
+        assert int((take * lengths).sum()) == 1301 and (take <= counts).all()
