@@ -14,8 +14,6 @@ from codeloom.session import materialise, small
 
 #: Thresholds that the problem states.
 MIN_TOGETHER, MIN_RATIO = 5, 2.75
-#: Score from which a document counts as abusive.
-ABUSIVE = 0.6
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -112,12 +110,12 @@ def _scored(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).filter(F.col("abuse_score") >= ABUSIVE).select("doc_id").distinct()
+    return _scored(spark, d).filter(F.col("abuse_score") >= abuse.ABUSIVE).select("doc_id").distinct()
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and rate of abusive ones per source."""
-    bad = (F.coalesce("abuse_score", F.lit(0.0)) >= ABUSIVE).cast("int")
+    """Documents and rate of abusive ones per source; null where the reviews make up no model."""
+    bad = (F.col("abuse_score") >= abuse.ABUSIVE).cast("int")
     return _scored(spark, d, "source").groupBy(mixing.source_key(F.col("source")).alias("source")).agg(F.count("*").alias("docs"), F.sum(bad).alias("abusive"), F.avg(bad.cast("double")).alias("rate"))
 
 
