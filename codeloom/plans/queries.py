@@ -54,7 +54,7 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     """Flat table of records with the number of their segments and codes, 0 where there are none."""
     linked = nested.link_nodes(nested.node_table(_t(spark, d, "raw_records")).drop("attrs")).withColumn("pos", F.coalesce("record.pos", "pos")).withColumn("pre", F.coalesce("record.pre", "pre"))
     # A record's own node carries its row; records at one position of different envelopes are told apart by their label.
-    rows = linked.filter("kind in ('record', 'segment', 'code')").groupBy("raw_id", "pre", F.col("pos").alias("rec_pos"))
+    rows = linked.filter("kind in ('record', 'segment', 'code')").groupBy("raw_id", "payload_hash", "pre", F.col("pos").alias("rec_pos"))
     n = lambda kind: F.sum((F.col("kind") == kind).cast("int")).alias(f"{kind}s")
     return rows.agg(n("segment"), n("code")).select("raw_id", "rec_pos", "segments", "codes")
 

@@ -9,6 +9,9 @@ any two levels can be joined directly.
 Defined results
 ---------------
 * A null, empty, cut-off or non-JSON payload gives no nodes; ``payload_status`` names it.
+* Payloads may nest to any depth: parsing and traversal keep their own stacks.
+* Payloads are told apart by key and content: rows with a null or a repeated key are not
+  linked with each other, rows that repeat both give their nodes once each.
 * A byte-order mark before the JSON is dropped. Text that itself holds complete JSON is
   read as that JSON wherever a structural part (payload, record, list, segment, code) is
   expected.
@@ -22,7 +25,9 @@ Defined results
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,22 +42,113 @@ CODE_ITEM_FIELDS = ("dimension", "code_id", "label", "polarity", "rationale")
 NODE_SCHEMA = "kind string, pre bigint, post bigint, pos int, list_name string, ident string, attrs map<string,string>"
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
+
+
+def _parse_deep(s: str) -> object:
+    """JSON nested deeper than the usual parser can follow; ValueError where it is none."""
+    top: list = []
+    # Open containers with, for objects, the key that waits for its value.
+    stack: list[tuple[object, list]] = [(top, [])]
+    at, fresh = _SPACE.match(s, 0).end(), True
+    while True:
+        box, key = stack[-1]
+        c = s[at : at + 1]
+        if c in ("]", "}") and len(stack) > 1 and (c == "]") == isinstance(box, list) and not key:
+            stack.pop()
+            at, fresh = at + 1, False
+        elif not fresh:
+            if len(stack) == 1:
+                break
+            if c != ",":
+                raise ValueError(at)
+            at, fresh = _SPACE.match(s, at + 1).end(), True
+            if s[at : at + 1] in ("]", "}"):
+                raise ValueError(at)
+            continue
+        elif isinstance(box, dict) and not key:
+            if c != '"':
+                raise ValueError(at)
+            name, at = scanstring(s, at + 1)
+            at = _SPACE.match(s, at).end()
+            if s[at : at + 1] != ":":
+                raise ValueError(at)
+            key.append(name)
+            at = _SPACE.match(s, at + 1).end()
+            continue
+        else:
+            if c == '"':
+                value, at = scanstring(s, at + 1)
+            elif c in ("[", "{") and c:
+                value, at = ([] if c == "[" else {}), at + 1
+            elif m := _ATOM.match(s, at):
+                value, at = json.loads(m.group()), m.end()
+            else:
+                raise ValueError(at)
+            if isinstance(box, list):
+                box.append(value)
+            else:
+                box[key.pop()] = value
+            fresh = isinstance(value, (list, dict))
+            if fresh:
+                stack.append((value, []))
+        at = _SPACE.match(s, at).end()
+    if at < len(s):
+        raise ValueError(at)
+    return top[0]
+
+
+def _parse(s: str) -> object:
+    try:
+        return json.loads(s)
+    except RecursionError:
+        return _parse_deep(s)
+
+
+def _dump(value: object) -> str:
+    """JSON text of a value of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list[tuple[bool, object]] = [(False, value)]
+    while todo:
+        literal, v = todo.pop()
+        if literal:
+            out.append(v)
+        elif isinstance(v, dict):
+            todo.append((True, "}"))
+            for i, (k, x) in reversed(list(enumerate(v.items()))):
+                todo += [(False, x), (True, (", " if i else "") + json.dumps(k, ensure_ascii=False) + ": ")]
+            todo.append((True, "{"))
+        elif isinstance(v, list):
+            todo.append((True, "]"))
+            for i, x in reversed(list(enumerate(v))):
+                todo += [(False, x), (True, ", " if i else "")]
+            todo.append((True, "["))
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
 def _text(value: object) -> str:
     """JSON scalar or container as text; null is the empty string."""
     if value is None:
         return ""
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return value if isinstance(value, str) else _dump(value)
 
 
 def _opened(value: object) -> object:
     """Strings that hold a complete JSON object or array are replaced by it, repeatedly."""
     while isinstance(value, str):
-        s = value.strip().lstrip("﻿").strip()
+        s = value.strip().lstrip("\ufeff").strip()
         if s[:1] not in ("{", "[", '"'):
             return value
         try:
-            inner = json.loads(s)
-        except (ValueError, RecursionError):
+            inner = _parse(s)
+        except ValueError:
             return value
         if not isinstance(inner, (dict, list, str)):
             return value
@@ -64,12 +160,12 @@ def parse_payload(payload: str | None) -> tuple[str, object]:
     """(status, value); status is ok, null, empty or damaged."""
     if payload is None:
         return "null", None
-    s = payload.lstrip("﻿").strip()
+    s = payload.lstrip("\ufeff").strip()
     if not s:
         return "empty", None
     try:
-        value = _opened(json.loads(s))
-    except (ValueError, RecursionError):
+        value = _opened(_parse(s))
+    except ValueError:
         return "damaged", None
     return ("ok", value) if isinstance(value, (dict, list)) else ("damaged", None)
 
@@ -106,27 +202,22 @@ class _Labeller:
             self.rows.append((kind, pre, self.post, pos, list_name, ident, kept))
 
     def container(self, value: object, pos: int) -> None:
-        """Envelopes and arrays around records."""
-        value = _opened(value)
-        if isinstance(value, list):
-            pre = self._enter()
-            for i, v in enumerate(value):
-                self.container(v, i)
-            self._leave(None, pre)
-        elif isinstance(value, dict):
-            if any(k in value for k in RECORD_FIELDS):
-                self.record(value, pos)
+        """Envelopes and arrays around records, to any depth."""
+        todo: list[tuple[object, int, int]] = [(value, pos, 0)]
+        while todo:
+            v, at, left = todo.pop()
+            if left:
+                self._leave(None, left)
+                continue
+            v = _opened(v)
+            if isinstance(v, dict) and any(k in v for k in RECORD_FIELDS):
+                self.record(v, at)
+            elif isinstance(v, (dict, list)):
+                todo.append((None, at, self._enter()))
+                inner = list(enumerate(v)) if isinstance(v, list) else [(at, x) for x in v.values()]
+                todo.extend((x, i, 0) for i, x in reversed(inner))
             else:
-                pre = self._enter()
-                for v in value.values():
-                    v = _opened(v)
-                    if isinstance(v, (dict, list)):
-                        self.container(v, pos)
-                    else:
-                        self._skip(v)
-                self._leave(None, pre)
-        else:
-            self._skip(value)
+                self._skip(v)
 
     def record(self, record: dict, pos: int) -> None:
         pre = self._enter()
@@ -227,35 +318,33 @@ def payload_status(df: DataFrame, payload: str = "payload") -> DataFrame:
 def node_table(df: DataFrame, key: str = "raw_id", payload: str = "payload", attributes: bool = False) -> DataFrame:
     """One row per record, window, segment and code node of every readable payload.
 
-    Columns: ``key`` and ``NODE_SCHEMA``. Rows with a null key are kept. ``attributes``
-    adds the node's scalar fields as a map; leave it off where only structure is needed,
-    since the texts are then shuffled with the labels.
+    Columns: ``key``, ``payload_hash`` (tells payloads of one key apart) and
+    ``NODE_SCHEMA``. ``attributes`` adds the node's scalar fields as a map; leave it off
+    where only structure is needed, since the texts are then shuffled with the labels.
     """
-    slim = df.select(F.col(key), F.col(payload).cast("string").alias("__payload"))
+    text = F.col(payload).cast("string")
+    slim = df.select(F.col(key), F.xxhash64(text).alias("payload_hash"), text.alias("__payload"))
     kind = slim.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = batch.column(0), [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(7)]
             take: list[int] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 status, value = parse_payload(text)
                 if status != "ok":
                     continue
-                try:
-                    rows = label_nodes(value, attributes)
-                except RecursionError:
-                    continue
+                rows = label_nodes(value, attributes)
                 take.extend([i] * len(rows))
                 for row in rows:
                     for col, v in zip(out, row):
                         col.append(v)
             types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
-            cols = [keys.take(pa.array(take, pa.int64()))]
+            cols = [batch.column(k).take(pa.array(take, pa.int64())) for k in (0, 1)]
             cols += [pa.array([list(m.items()) if isinstance(m, dict) else m for m in c] if t == types[6] else c, t) for c, t in zip(out, types)]
-            yield pa.RecordBatch.from_arrays(cols, names=[key, "kind", "pre", "post", "pos", "list_name", "ident", "attrs"])
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "payload_hash", "kind", "pre", "post", "pos", "list_name", "ident", "attrs"])
 
-    return slim.mapInArrow(run, f"`{key}` {kind}, {NODE_SCHEMA}")
+    return slim.mapInArrow(run, f"`{key}` {kind}, payload_hash bigint, {NODE_SCHEMA}")
 
 
 def link_nodes(nodes: DataFrame, key: str = "raw_id") -> DataFrame:
@@ -266,7 +355,7 @@ def link_nodes(nodes: DataFrame, key: str = "raw_id") -> DataFrame:
     One sort per payload replaces a range join. Adds ``record``, ``window`` and
     ``segment``: structs (pre, post, pos, list_name, ident), null where none contains.
     """
-    order = Window.partitionBy(key).orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(key, "payload_hash").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
     for kind in ("record", "window", "segment"):
         node = F.struct("pre", "post", "pos", "list_name", "ident")
         nodes = nodes.withColumn(f"__{kind}", F.last(F.when(F.col("kind") == kind, node), ignorenulls=True).over(order))

@@ -61,3 +61,31 @@ def test_repair(text, value):
     out = repair(text)
     assert (json.loads(out) if out else None) == value
     assert first_balanced('a "x" [1, "]"] b') == '[1, "]"]'
+
+
+def test_any_depth(spark):
+    one = json.dumps(REC, ensure_ascii=False)
+    deep = ["[" * n + one + "]" * n for n in (1500, 5000, 150_000)] + ['{"a": ' * n + one + "}" * n for n in (5000, 120_000)]
+    got = found(spark, [one, *deep, "[" * 150_000 + one + "]" * 149_999, "[" * 150_000 + one + ",]" + "]" * 149_999])
+    assert {g[0] for g in got} == set(range(6)) and all([g[1:] for g in got if g[0] == i] == [g[1:] for g in got if g[0] == 0] for i in range(1, 6))
+    assert [parse_payload(x)[0] for x in deep] == ["ok"] * 5
+    assert parse_payload('{"segments": [{"segment_id": ' + "[" * 60_000 + '"é"' + "]" * 60_000 + "}]}")[0] == "ok"
+    rows = label_nodes({"segments": [{"segment_id": parse_payload("[" * 60_000 + '{"k": ["é", 1]}' + "]" * 60_000)[1], "codes": ["x"]}]})
+    assert {r[5] for r in rows if r[0] == "segment"} == {"[" * 60_000 + '{"k": ["é", 1]}' + "]" * 60_000}
+
+
+def test_deep_parser_agrees():
+    from codeloom.sources.nested import _dump, _parse_deep
+
+    for text in ('{"a": [1, -2.5e3, true, null, {"b": {}}, []], "c": "x\\u00e9\\n"}', "[]", "{}", ' [ [ ] , { "k" : [ 0 ] } ] ', '"s"', "3"):
+        assert _parse_deep(text) == json.loads(text)
+    for text in ("[1 2]", "[1,]", '{"a":}', '{"a" 1}', "{1: 2}", "[", "]", "[}", '{"a": 1]', "", "[] []", '{"a":1,}'):
+        with pytest.raises(ValueError):
+            _parse_deep(text)
+
+
+def test_null_and_repeated_keys(spark):
+    p = [json.dumps({"segments": [{"segment_id": f"S{i}", "codes": [f"c{i}"]}]}) for i in range(3)]
+    df = spark.createDataFrame([(None, p[0]), (None, p[1]), (1, p[1]), (1, p[2])], "raw_id bigint, payload string")
+    got = link_nodes(node_table(df)).filter("kind = 'code'").collect()
+    assert sorted((r.raw_id or 0, r.segment.ident, r.ident) for r in got) == [(0, "S0", "c0"), (0, "S1", "c1"), (1, "S1", "c1"), (1, "S2", "c2")]
