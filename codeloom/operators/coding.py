@@ -25,63 +25,68 @@ def normal(text: str | None) -> str:
     return _DROP.sub("", text or "").lower()
 
 
-def same_passage(q: str, g: int, kept: str, origin: int, overlap: str | None) -> bool:
-    """Whether a passage of window g repeats a kept one of window ``origin``.
-
-    In one window only the same text does; in the window before, also one that contains the
-    other (the contained one at least 10 characters), and only inside the shared text where
-    that is known.
-    """
-    if origin == g:
-        return kept == q
-    if origin != g - 1:
-        return False
-    short, long = sorted((q, kept), key=len)
-    if q != kept and not (len(short) >= LEAST_INNER and short in long):
-        return False
-    return overlap is None or (bool(overlap) and short in overlap)
+class _Merging:
+    """Segments kept so far; those of the window at hand by text, those of the window before in order."""
+
+    def __init__(self) -> None:
+        self.kept: list[dict] = []
+        self.here: dict[str, int] = {}
+        self.before: dict[int, str] = {}
+
+    def next_window(self) -> None:
+        self.before, self.here = {at: text for text, at in self.here.items()}, {}
+
+    def repeated(self, text: str, shared: str | None) -> int | None:
+        """Place of the kept segment that ``text`` repeats: one of the window before that holds it or is
+        held by it (the inner text at least 10 characters unless both are equal, and inside the shared
+        text where that is known), else the same text of this window."""
+        for at, old in self.before.items():
+            inner, outer = (text, old) if len(text) <= len(old) else (old, text)
+            if (text == old or len(inner) >= LEAST_INNER and inner in outer) and (shared is None or shared and inner in shared):
+                return at
+        return self.here.get(text)
+
+    def add(self, segment: dict, text: str, shared: str | None) -> None:
+        at = self.repeated(text, shared)
+        if at is None:
+            self.here[text] = len(self.kept)
+            self.kept.append({**segment, "codes": list(segment.get("codes") or []), "history": list(segment.get("history") or [])})
+            return
+        old = self.kept[at]
+        had = {_code_name(c) for c in old["codes"]}
+        united = {_triple(c): c for c in reversed([*old["codes"], *(segment.get("codes") or [])])}
+        old["codes"] = list(old["codes"]) + [c for t, c in reversed(united.items()) if t not in {_triple(x) for x in old["codes"]}]
+        if new := sorted({_code_name(c) for c in old["codes"]} - had):
+            old["history"].append({"time": "", "action": MERGE_ACTION, "detail": "codes from another excerpt: " + ", ".join(new), "reviewer": ""})
+        if len(segment.get("quote") or "") > len(old.get("quote") or "") and at in self.before:
+            self.before[at] = text
+        old |= {f: max(old.get(f) or "", segment.get(f) or "", key=len) for f in ("full_text", "quote")}
+
+
+def _triple(c: dict) -> tuple:
+    return c.get("dimension"), c.get("polarity"), (c.get("rationale") or "").strip()
+
+
+def _code_name(c: dict) -> str:
+    return "-".join(filter(None, (c.get("dimension"), c.get("polarity"))))
 
 
 def merge_windows(groups: list[list[dict]], overlaps: list[str] | None = None) -> list[dict]:
     """Segments of all windows in order, repeats of the shared text merged.
 
     A segment: quote, full_text, codes (list of dicts with dimension, polarity, rationale).
-    Of a repeat the codes are united (a triple counts once), the longer texts are kept, and
-    codes that came in are noted in the history. Segments without a quote are dropped.
+    Only neighbouring windows share text (see :class:`_Merging`). Of a repeat the codes are
+    united (a triple counts once), the longer texts are kept, and codes that came in are noted
+    in the history. Segments without a quote are dropped.
     """
-    out: list[dict] = []
-    index: list[tuple[str, int]] = []
-    triple = lambda c: (c.get("dimension"), c.get("polarity"), (c.get("rationale") or "").strip())
-    names = lambda s: {"-".join(x for x in (c.get("dimension"), c.get("polarity")) if x) for c in s["codes"]}
-    for g, group in enumerate(groups):
-        shared = None if overlaps is None else normal(overlaps[g] if g < len(overlaps) else "")
-        for seg in group or []:
-            q = normal(seg.get("quote"))
-            if not q:
-                continue
-            hit = next((i for i, (k, o) in enumerate(index) if same_passage(q, g, k, o, shared)), None)
-            if hit is None:
-                out.append({**seg, "codes": list(seg.get("codes") or []), "history": list(seg.get("history") or [])})
-                index.append((q, g))
-                continue
-            old = out[hit]
-            before = names(old)
-            known = {triple(c) for c in old["codes"]}
-            for c in seg.get("codes") or []:
-                if triple(c) not in known:
-                    known.add(triple(c))
-                    old["codes"].append(c)
-            came = sorted(names(old) - before)
-            if came:
-                old["history"].append({"time": "", "action": MERGE_ACTION, "detail": "codes from another excerpt: " + ", ".join(came), "reviewer": ""})
-            for field in ("full_text", "quote"):
-                if len(seg.get(field) or "") > len(old.get(field) or ""):
-                    old[field] = seg[field]
-                    if field == "quote":
-                        index[hit] = (q, index[hit][1])
-    for i, seg in enumerate(out, 1):
-        seg["segment_id"] = f"S{i:03d}"
-    return out
+    merging = _Merging()
+    for group, overlap in zip(groups, overlaps + [""] * len(groups) if overlaps is not None else [None] * len(groups)):
+        shared = None if overlap is None else normal(overlap)
+        for segment in group or []:
+            if text := normal(segment.get("quote")):
+                merging.add(segment, text, shared)
+        merging.next_window()
+    return [{**s, "segment_id": f"S{i:03d}"} for i, s in enumerate(merging.kept, 1)]
 
 
 _SEGMENT = "segment_id string, title string, quote string, full_text string, codes array<struct<dimension:string,polarity:string,rationale:string>>, history array<struct<time:string,action:string,detail:string,reviewer:string>>"
