@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,6 +193,10 @@ class Lexicon:
         return len(self.terms) + len(self.patterns)
 
 
+#: Fixed values of the dictionary coder's weights.
+INTENSIFIED, AFTER_PIVOT, BEFORE_PIVOT = 1.5, 1.5, 0.7
+
+
 class DictionaryCoder:
     """Transparent rules as a yardstick: terms and patterns weighted by what stands around them.
 
@@ -200,58 +206,81 @@ class DictionaryCoder:
     inside longer ones do not count. Patterns weigh double; only those of the first pole flip.
     A dimension gets its heaviest polarity from 1.0 on, none on a tie; without polarity the
     dimension alone is scored.
+
+    One automaton holds terms and modifiers; a clause is read once and everything else is
+    arithmetic on the intervals found.
     """
 
     def __init__(self, lexicon: Lexicon, framework: Framework, reach: int = 6, pattern_weight: float = 2.0, reported_weight: float = 0.4, threshold: float = 1.0) -> None:
         self.lex, self.fw, self.reach = lexicon, framework, reach
         self.pattern_weight, self.reported_weight, self.threshold = pattern_weight, reported_weight, threshold
-        self.compiled = [(re.compile(rx), d, p) for _, d, p, rx in lexicon.patterns]
-
-    def _flip(self, pol: str) -> str:
-        poles = self.fw.polarities
-        return poles[1 - poles.index(pol)] if len(poles) == 2 and pol in poles else pol
-
-    def _spans(self, clause: str) -> list[tuple[int, int, str, str]]:
-        found = []
-        for dim, pol, term in self.lex.terms:
-            at = clause.find(term) if term else -1
-            while at >= 0:
-                found.append((at, at + len(term), dim, pol))
-                at = clause.find(term, at + 1)
-        found.sort(key=lambda s: (s[0] - s[1], s[0]))
-        kept: list[tuple[int, int, str, str]] = []
-        for s in found:
-            if not any(k[0] <= s[0] and s[1] <= k[1] for k in kept):
-                kept.append(s)
-        return kept
+        self.patterns = [(re.compile(rx), (dim, pol)) for _, dim, pol, rx in lexicon.patterns]
+        poles = framework.polarities
+        self.other_pole = dict(zip(poles, reversed(poles))) if len(poles) == 2 else {}
+        # word -> the codes it stands for, in the lexicon's order, and the roles it has as a modifier
+        self.words: dict[str, tuple[list[tuple[str, str]], set[str]]] = {}
+        for dim, pol, term in lexicon.terms:
+            if term:
+                self.words.setdefault(term, ([], set()))[0].append((dim, pol))
+        for role in ("negators", "intensifiers", "pivots", "reported"):
+            for word in filter(None, getattr(lexicon, role)):
+                self.words.setdefault(word, ([], set()))[1].add(role)
+        self._automaton: ahocorasick.Automaton | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_automaton": None}
+
+    def _found(self, clause: str) -> list[tuple[int, int, str]]:
+        """(start, end, word) of every occurrence of every word."""
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for word in self.words:
+                self._automaton.add_word(word, word)
+            self._automaton.make_automaton()
+        return [(last + 1 - len(word), last + 1, word) for last, word in self._automaton.iter(clause)] if self.words else []
+
+    def _weigh(self, clause: str) -> Iterator[tuple[tuple[str, str], float]]:
+        """(code, weight) of every hit of a clause."""
+        found = self._found(clause)
+        of = lambda role: [(a, b) for a, b, word in found if role in self.words[word][1]]
+        base = self.reported_weight if of("reported") else 1.0
+        turn = min((a for a, _ in of("pivots")), default=None)
+        before = {role: {at for a, b in of(role) for at in range(b, a + self.reach + 1)} for role in ("negators", "intensifiers")}
+        # Sweep from the left, longer words first: what ends before something seen ends lies inside it.
+        reached, hits = 0, []
+        for a, b, word in sorted((f for f in found if self.words[f[2]][0]), key=lambda f: (f[0], -f[1])):
+            if b > reached:
+                reached = b
+                hits.append((a, self.words[word][0][0], INTENSIFIED if a in before["intensifiers"] else 1.0, True))
+        for rx, code in self.patterns:
+            if m := rx.search(clause):
+                hits.append((m.start(), code, self.pattern_weight, code[1] in self.fw.polarities[:1]))
+        for at, (dim, pol), weight, flips in hits:
+            if flips and at in before["negators"]:
+                pol = self.other_pole.get(pol, pol)
+            yield (dim, pol), base * weight * (1.0 if turn is None else AFTER_PIVOT if at > turn else BEFORE_PIVOT)
 
     def scores(self, text: str | None) -> dict[tuple[str, str], float]:
-        out: dict[tuple[str, str], float] = {}
-        for clause in filter(None, map(str.strip, re.split(CLAUSE, text or ""))):
-            base = self.reported_weight if any(q in clause for q in self.lex.reported) else 1.0
-            turn = min((clause.find(p) for p in self.lex.pivots if p in clause), default=None)
-            hits = [(a, d, p, 1.0, True) for a, _, d, p in self._spans(clause)]
-            hits += [(m.start(), d, p, self.pattern_weight, bool(self.fw.polarities) and p == self.fw.polarities[0]) for rx, d, p in self.compiled if (m := rx.search(clause))]
-            for at, dim, pol, weight, flips in hits:
-                near = clause[max(0, at - self.reach) : at]
-                w = base * weight * (1.0 if turn is None else 1.5 if at > turn else 0.7)
-                if weight == 1.0 and any(x in near for x in self.lex.intensifiers):
-                    w *= 1.5
-                if flips and any(x in near for x in self.lex.negators):
-                    pol = self._flip(pol)
-                out[dim, pol] = out.get((dim, pol), 0.0) + w
-        return out
+        """Summed weights per (dimension, polarity or '')."""
+        total: Counter = Counter()
+        for clause in re.split(CLAUSE, text or ""):
+            for code, weight in self._weigh(clause.strip()):
+                total[code] += weight
+        return dict(total)
 
     def codes(self, text: str | None) -> list[str]:
-        s, out = self.scores(text), []
+        scores, out = self.scores(text), []
         for d in self.fw.dimensions:
+            own = {pol: v for (dim, pol), v in scores.items() if dim == d.id and (not self.fw.polarities or pol in self.fw.polarities)}
             if not self.fw.polarities:
-                if sum(v for (dim, _), v in s.items() if dim == d.id) >= self.threshold:
-                    out.append(d.short)
-                continue
-            ranked = sorted(((s.get((d.id, p), 0.0), p) for p in self.fw.polarities), reverse=True)
-            if ranked[0][0] >= self.threshold and abs(ranked[0][0] - ranked[1][0]) >= 1e-9:
-                out.append(f"{d.short}-{ranked[0][1]}")
+                best, value = None, sum(own.values())
+            else:
+                best = max(own, key=own.get, default=None)
+                value = own.get(best, 0.0)
+                if sum(abs(v - value) < 1e-9 for v in own.values()) > 1:
+                    continue
+            if value >= self.threshold:
+                out.append("-".join(filter(None, (d.short, best))))
         return out
 
 
