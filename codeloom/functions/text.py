@@ -40,20 +40,29 @@ def estimate_tokens(c: Column) -> Column:
     return cjk + ((F.length(c) - cjk) / F.lit(3.5)).cast("bigint") + F.lit(16)
 
 
-#: Names that stand for no name.
-PLACEHOLDERS = ("unknown", "unspecified", "anonymous", "respondent", "interviewee", "speaker", "n/a", "na", "none", "未知", "匿名", "受訪者")
+#: Names that stand for no name, and what copied instructions contain or start with.
+PLACEHOLDERS = (
+    "unknown", "unspecified", "unnamed", "none", "n/a", "na", "null", "respondent", "the respondent", "interviewee", "the interviewee",
+    "speaker", "the speaker", "participant", "the participant", "未指定", "不明", "未知", "受訪者", "受訪人", "無")
+PLACEHOLDER_PARTS, PLACEHOLDER_STARTS = ("as named in",), ("the respondent", "the person speaking")
 
 
 def is_placeholder(c: Column) -> Column:
-    """Null, empty and stand-in names."""
-    key = F.lower(F.trim(c))
-    return c.isNull() | (key == "") | key.isin(list(PLACEHOLDERS))
+    """Null, empty and stand-in names, quotation marks around them aside."""
+    key = F.btrim(F.lower(F.trim(c)), F.lit("「」\"'"))
+    found = (key == "") | key.isin(*PLACEHOLDERS)
+    for x in PLACEHOLDER_PARTS:
+        found = found | key.contains(x)
+    for x in PLACEHOLDER_STARTS:
+        found = found | key.startswith(x)
+    return c.isNull() | found
 
 
 def respondent_of_file(c: Column) -> Column:
-    """Name part of a file name: folder, extension and common prefixes dropped."""
-    base = F.regexp_replace(F.regexp_replace(c, r"^.*[/\\]", ""), r"\.[A-Za-z0-9]+$", "")
-    return F.trim(F.regexp_replace(base, r"(?i)^(?:transcript|interview|逐字稿|訪談)[\s_\-]*", ""))
+    """Respondent's id from a file name: without folder and extension; unknown where nothing is left."""
+    base = F.regexp_replace(c, r"^.*[/\\]", "")
+    stem = F.trim(F.regexp_replace(base, r"^(.*[^.].*)\.[^.]*$", "$1"))
+    return F.coalesce(F.nullif(stem, F.lit("")), F.lit("unknown"))
 
 
 def host_class(url: Column) -> Column:
@@ -69,15 +78,38 @@ def host_class(url: Column) -> Column:
     )
 
 
-#: Ways of citing that nothing was said, as evidence.
-ABSENCE = (
-    r"(?i)(?:does not mention|no mention of|not mentioned|never mentions|fails to mention|absence of|lack of any (?:mention|reference)|"
-    r"did not (?:mention|address)|no evidence of|not addressed|沒有提到|未提及|沒有提及|並未提到|未談到|沒有談到)"
-)
+# --- Fixed values: ways of saying that a passage does not show something -------------------------
+# What the respondent says is lacking is evidence; only verbs and nouns of showing are listed.
+SHOWING = "show demonstrate exhibit display reflect indicate reveal evidence mention articulate".split()
+FAILING = [*"show demonstrate exhibit display reflect indicate reveal evidence mention acknowledge articulate".split()]
+TRACES = "evidence indication sign mention trace".split()
+SHOWN = "shown demonstrated evidenced evident articulated".split()
+PASSAGES = "passage excerpt segment quote".split()
+NEVER = "show demonstrate exhibit reflect indicate".split()
+SHOWING_ZH = {"未": "表現出 表现出 展現 展现 顯示 显示 呈現 呈现 體現 体现".split(), "沒有": "表現 展現 顯示 呈現 體現".split(), "没有": "表现 展现 显示 呈现 体现".split()}
+UNSEEN_ZH = "看不出 無法看出 无法看出 不足以顯示 不足以显示 未見證據 未見跡象 未見任何證據 未見任何跡象".split()
+PASSAGES_ZH, LACKING_ZH = "本段 這段 该段 此段".split(), "沒有 没有 未".split()
+
+
+def _any(words: list[str]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+ABSENCE = "(?i)" + "|".join([
+    rf"\b(?:does|did|do)\s*n[o']t\s+{_any(SHOWING)}\b",
+    rf"\bfail(?:s|ed|ing)?\s+to\s+{_any(FAILING)}\b",
+    rf"\bno\s+{_any(TRACES)}\s+of\b",
+    rf"\bnot\s+{_any(SHOWN)}\b",
+    rf"\bnothing\s+(?:here|in\s+this\s+{_any(PASSAGES)})\b",
+    rf"\bthe\s+{_any([*PASSAGES, 'speaker'])}\s+never\s+{_any(NEVER)}\b",
+    *(no + _any(verbs) for no, verbs in SHOWING_ZH.items()),
+    *UNSEEN_ZH,
+    rf"{_any(PASSAGES_ZH)}[^，。；]{{0,12}}{_any(LACKING_ZH)}",
+])
 
 
 def is_absence(c: Column) -> Column:
-    """Rationales that argue from something not being said; null counts as no."""
+    """Rationales that argue from the passage not showing something; null counts as no."""
     return F.coalesce(c.rlike(ABSENCE), F.lit(False))
 
 

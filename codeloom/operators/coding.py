@@ -172,9 +172,10 @@ def yield_report(docs: DataFrame, segments: DataFrame, key: str, dimensions: lis
 
 
 def merge_respondent(names: DataFrame, keys: list[str]) -> DataFrame:
-    """The most frequent name per key that is no placeholder; ties go to the earliest (``ord``)."""
-    counted = names.filter(~is_placeholder(F.col("name"))).groupBy(*keys, F.trim("name").alias("name")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    return counted.groupBy(*keys).agg(F.min_by("name", F.struct((-F.col("n")).alias("n"), "first")).alias("name"))
+    """The most frequent name per key that is no placeholder; ties go to the earliest (``ord``); unknown where there is none."""
+    counted = names.groupBy(*keys, F.when(~is_placeholder(F.col("name")), F.trim("name")).alias("name")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    best = F.min_by("name", F.when(F.col("name").isNotNull(), F.struct((-F.col("n")).alias("n"), "first")))
+    return counted.groupBy(*keys).agg(F.coalesce(best, F.lit("unknown")).alias("name"))
 
 
 def merge_descriptors(parts: DataFrame, keys: list[str]) -> DataFrame:

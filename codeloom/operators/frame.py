@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.arrays import sorted_set
 from codeloom.functions.text import drop_punctuation
+from codeloom.session import materialise
 
 #: Least length of a contained text, stratum of units without codes, marks that count as ticked.
 LEAST, UNMARKED = 10, "__unmarked__"
@@ -78,54 +80,56 @@ def parse_sheet(sheet: DataFrame, codes: list[str], units: DataFrame) -> DataFra
 
 
 def stratified_sample(frame: DataFrame, codes: list[str], n: int = 100, seed: int = 42, per_code: int = 4, unmarked_share: float = 0.35) -> DataFrame:
-    """Seeded sample of units with ``draw`` (order of the draw).
+    """Seeded sample of the units of one framework: (unit_id, draw); see :func:`stratified_samples`."""
+    order = F.array(*map(F.lit, codes)) if codes else F.array().cast("array<string>")
+    one = frame.select("unit_id", "ai_codes", F.lit("").alias("__one"))
+    return stratified_samples(one, order, "__one", n, seed, per_code, unmarked_share).select("unit_id", "draw")
 
-    A fixed share of unmarked units, at least ``per_code`` of every code in framework order,
-    the rest from the other marked units; without marked units n of all. Order within a
-    stratum is a seeded hash, so the sample does not depend on partitions. Only ids that
-    can be drawn (at most n per code and n of the rest) are ranked together at the end.
+
+def _quotas(candidates: DataFrame, key: str, per_code: int) -> DataFrame:
+    """(key, unit_id): code by code in framework order up to ``per_code`` units that hold it and are not taken yet.
+
+    ``candidates``: key, unit_id, code, place (of the code), r (rank within the code). They
+    are few: per_code times the square of the framework's codes.
     """
-    h = F.xxhash64(F.lit(seed), "unit_id")
-    rows = frame.select("unit_id", sorted_set(F.col("ai_codes")).alias("codes"), h.alias("h"))
-    order = F.array(*[F.lit(c) for c in codes])
-    first_code = F.array_min(F.transform(F.array_intersect("codes", order), lambda c: F.array_position(order, c)))
-    marked = F.size("codes") > 0
-    totals = rows.agg(F.sum(marked.cast("int")).alias("m"), F.sum((~marked).cast("int")).alias("u")).first()
-    m, u = totals.m or 0, totals.u or 0
-    if not m:
-        picked = rows.orderBy("h", "unit_id").limit(n).select("unit_id", "h")
-    else:
-        k_un = min(u, round(n * unmarked_share))
-        k_m = min(m, n - k_un)
-        # A unit serves its first code in framework order; every code gets its quota from the units that serve it.
-        ranked = rows.filter(marked).withColumn("code", first_code).withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("h", "unit_id")))
-        quota = ranked.filter((F.col("r") <= per_code) & F.col("code").isNotNull()).select("unit_id", "h")
-        got = quota.count()
-        rest = ranked.filter((F.col("r") > per_code) | F.col("code").isNull()).orderBy("h", "unit_id").limit(max(0, k_m - got)).select("unit_id", "h")
-        blank = rows.filter(~marked).orderBy("h", "unit_id").limit(k_un).select("unit_id", "h")
-        picked = quota.unionByName(rest).unionByName(blank)
-    again = F.xxhash64(F.lit(seed + 1), "unit_id")
-    return picked.withColumn("draw", F.row_number().over(Window.orderBy(again, "unit_id"))).select("unit_id", "draw")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: dict[str, None] = {}
+        for _, pool in pdf.sort_values(["place", "r"]).groupby("place", sort=True):
+            taken |= dict.fromkeys([u for u in pool["unit_id"] if u not in taken][:per_code])
+        return pd.DataFrame({key: pdf[key].iloc[0], "unit_id": list(taken)})
+
+    kinds = ", ".join(f"`{c}` {candidates.schema[c].dataType.simpleString()}" for c in (key, "unit_id"))
+    return candidates.groupBy(key).applyInPandas(one, kinds)
 
 
 def stratified_samples(frame: DataFrame, codes: Column, key: str = "framework_id", n: int = 100, seed: int = 42, per_code: int = 4, unmarked_share: float = 0.35) -> DataFrame:
-    """``stratified_sample`` of every ``key`` at once: (key, unit_id, draw). ``codes`` is a column of the row's codes."""
-    rows = frame.select(key, "unit_id", sorted_set(F.col("ai_codes")).alias("codes"), codes.alias("order"), F.xxhash64(F.lit(seed), "unit_id").alias("h"))
-    first_code = F.array_min(F.transform(F.array_intersect("codes", "order"), lambda c: F.array_position("order", c)))
-    rows = rows.select(key, "unit_id", "h", (F.size("codes") > 0).alias("marked"), first_code.alias("code"))
-    totals = rows.groupBy(F.col(key).alias("__key")).agg(F.sum(F.col("marked").cast("int")).alias("m"), F.sum((~F.col("marked")).cast("int")).alias("u"))
-    # Only the first n of a stratum can be drawn: Spark limits these ranks before the shuffle.
-    rank = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(key, *by).orderBy("h", "unit_id")))
-    marked = rank(rows.filter("marked"), "code").filter(F.col("r") <= max(n, per_code))
-    is_quota = (F.col("r") <= per_code) & F.col("code").isNotNull()
-    quota, others = marked.filter(is_quota), rank(marked.filter(~is_quota).drop("r")).filter(F.col("r") <= n)
-    got = quota.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("got"))
+    """Seeded sample of units of every ``key``: (key, unit_id, draw), ``draw`` being the order of the draw.
+
+    ``codes`` is a column of the row's codes in framework order. A fixed share is of
+    unmarked units; of every code in order up to ``per_code`` units that hold it are taken
+    that are not taken yet; the rest comes from the other marked units; without marked units
+    n of all are drawn. Order within a stratum is a seeded hash, so the sample does not
+    depend on partitions. Repeated rows of a unit are one unit, null ids none.
+    """
+    rows = frame.filter("unit_id is not null").select(key, "unit_id", sorted_set(F.col("ai_codes")).alias("codes"), codes.alias("order"), F.xxhash64(F.lit(seed), "unit_id").alias("h")).dropDuplicates([key, "unit_id"])
+    marked = F.size("codes") > 0
+    totals = rows.groupBy(F.col(key).alias("__key")).agg(F.sum(marked.cast("int")).alias("m"), F.sum((~marked).cast("int")).alias("u"))
+    widest = rows.agg(F.max(F.size("order"))).first()[0] or 0
+    # Only the first of a stratum can be drawn: Spark applies these limits before the shuffle.
+    rank = lambda df, most, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(key, *by).orderBy("h", "unit_id"))).filter(F.col("r") <= most)
+    held = rows.select(key, "unit_id", "h", "order", F.explode(F.array_intersect("codes", "order")).alias("code"))
+    held = rank(held, max(1, per_code * widest), "code").withColumn("place", F.array_position("order", F.col("code")))
+    quota = materialise(_quotas(held.select(key, "unit_id", "code", "place", "r"), key, per_code), "quota")
+    # With the quotas at most n + per_code * widest of the first marked units are needed.
+    taken = quota.select(F.col(key).alias("__k"), F.col("unit_id").alias("__u"))
+    others = rank(rows.filter(marked), n + per_code * widest).drop("r").join(taken, F.col(key).eqNullSafe(F.col("__k")) & (F.col("unit_id") == F.col("__u")), "left_anti")
+    others, got = rank(others, n), taken.groupBy("__k").agg(F.count("*").alias("got"))
     k_un = F.least("u", F.lit(round(n * unmarked_share)))
-    room = totals.join(got.withColumnRenamed("__key", "__k"), F.col("__key").eqNullSafe(F.col("__k")), "left").select(
+    room = totals.join(got, F.col("__key").eqNullSafe(F.col("__k")), "left").select(
         "__key", F.when(F.col("m") > 0, k_un).otherwise(n).alias("blank"), F.when(F.col("m") > 0, F.greatest(F.lit(0), F.least("m", n - k_un) - F.coalesce("got", F.lit(0)))).otherwise(0).alias("rest"))
     fit = lambda df, c: df.join(room, F.col(key).eqNullSafe(F.col("__key"))).filter(F.col("r") <= F.col(c)).select(key, "unit_id")
-    blank = rank(rows.filter("not marked")).filter(F.col("r") <= n)
-    picked = quota.select(key, "unit_id").unionByName(fit(others, "rest")).unionByName(fit(blank, "blank"))
+    picked = quota.select(key, "unit_id").unionByName(fit(others, "rest")).unionByName(fit(rank(rows.filter(~marked), n), "blank"))
     again = F.xxhash64(F.lit(seed + 1), "unit_id")
     return picked.withColumn("draw", F.row_number().over(Window.partitionBy(key).orderBy(again, "unit_id"))).select(key, "unit_id", "draw")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 _STAR = """WITH long AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS respondent, l_orderkey AS segment, l_returnflag AS dimension, l_linestatus AS polarity,
  l_returnflag || '-' || l_linestatus AS code, c_mktsegment AS institution_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
+_STANDS_IN = """(respondent IS NULL OR trim(lower(trim(respondent)), '「」"''') IN ('', 'unknown', 'unspecified', 'unnamed', 'none', 'n/a', 'na', 'null', 'respondent', 'the respondent', 'interviewee', 'the interviewee', 'speaker', 'the speaker', 'participant', 'the participant', '未指定', '不明', '未知', '受訪者', '受訪人', '無')
+ OR contains(lower(respondent), 'as named in') OR regexp_matches(trim(lower(trim(respondent)), '「」"'''), '^(the respondent|the person speaking)'))"""
+
 _KEY = "trim(regexp_replace(lower({}), '[\\s_]+', ' ', 'g'))"
 #: Latest row per record, and spellings mapped to dimensions.
 RECORDS = "rec AS (SELECT * FROM records QUALIFY record_id IS NULL OR row_number() OVER (PARTITION BY record_id ORDER BY saved_at DESC NULLS LAST, received_at DESC NULLS LAST) = 1)"
@@ -38,6 +41,16 @@ LONG = f"""WITH {CODES},
   count(*) OVER (PARTITION BY v.record_id, v.seg_pos) AS codes_in_segment, coalesce(v.s.review.status, 'pending') AS status, coalesce(v.s.review.source, 'ai') AS source, v.endpoint
   FROM valid v JOIN shorts h ON h.framework_id = v.framework_id AND h.dimension = v.dimension)"""
 
+#: Written out apart from functions/text.py, for comparison.
+_ABSENT = (
+    "(?i)\\b(does|did|do)\\s*n[o'']t\\s+(show|demonstrate|exhibit|display|reflect|indicate|reveal|evidence|mention|articulate)\\b|"
+    "\\bfail(s|ed|ing)?\\s+to\\s+(show|demonstrate|exhibit|display|reflect|indicate|reveal|evidence|mention|acknowledge|articulate)\\b|"
+    "\\bno\\s+(evidence|indication|sign|mention|trace)\\s+of\\b|\\bnot\\s+(shown|demonstrated|evidenced|evident|articulated)\\b|"
+    "\\bnothing\\s+(here|in\\s+this\\s+(passage|excerpt|segment|quote))\\b|\\bthe\\s+(passage|excerpt|segment|quote|speaker)\\s+never\\s+(show|demonstrate|exhibit|reflect|indicate)\\b|"
+    "未(表現出|表现出|展現|展现|顯示|显示|呈現|呈现|體現|体现)|沒有(表現|展現|顯示|呈現|體現)|没有(表现|展现|显示|呈现|体现)|看不出|無法看出|无法看出|不足以顯示|不足以显示|未見(任何)?(證據|跡象)|"
+    "(本段|這段|该段|此段)[^，。；]{0,12}(沒有|没有|未)"
+)
+
 _HUB = f"""WITH u AS (SELECT unit_id, framework_id, ai_codes FROM units WHERE framework_id = 'ri_core'),
  j AS (SELECT c.*, u.framework_id FROM codings c JOIN u USING (unit_id) WHERE lower(trim(coder)) = 'coder_hub'),
  entry AS (SELECT unit_id, coder, coded_at, received_at, framework_id, x.dimension AS raw, x.polarity AS rawp FROM (SELECT unit_id, coder, coded_at, received_at, framework_id, unnest(codes) AS x FROM j)),
@@ -184,9 +197,14 @@ SQL: dict[str, str] = {
     "session_ids": """WITH u AS (SELECT session_id, list_sort(list(unit_id)) AS ids FROM units GROUP BY 1) SELECT session_id, substr(md5('[' || array_to_string(list_transform(ids, lambda x: '"' || x || '"'), ', ') || ']' || '42'), 1, 8) AS digest FROM u""",
     "scripts": """WITH t AS (SELECT text, len(regexp_extract_all(text, '[一-鿿]')) AS cjk, len(regexp_extract_all(text, '[A-Za-z]')) AS lat FROM documents WHERE text IS NOT NULL)
  SELECT CASE WHEN cjk + lat = 0 THEN 'unknown' WHEN cjk / (cjk + lat)::DOUBLE >= 0.15 THEN 'zh' ELSE 'en' END AS script, count(*) AS docs, CAST(sum(cjk + CAST(trunc((length(text) - cjk) / 3.5::DOUBLE) AS BIGINT) + 16) AS BIGINT) AS tokens FROM t GROUP BY 1""",
-    "placeholder_names": """SELECT respondent IS NULL OR trim(respondent) = '' OR lower(trim(respondent)) IN ('unknown', 'unspecified', 'anonymous', 'respondent', 'interviewee', 'speaker', 'n/a', 'na', 'none', '未知', '匿名', '受訪者') AS placeholder, count(*) AS n FROM records GROUP BY 1""",
-    "respondent_names": """WITH n AS (SELECT transcript_file, trim(respondent) AS name, count(*) AS n, min(doc_id) AS first FROM documents WHERE transcript_file IS NOT NULL AND respondent IS NOT NULL AND trim(respondent) <> '' AND lower(trim(respondent)) NOT IN ('unknown', 'unspecified', 'anonymous', 'respondent', 'interviewee', 'speaker', 'n/a', 'na', 'none', '未知', '匿名', '受訪者') GROUP BY 1, 2)
- SELECT transcript_file, name FROM n QUALIFY row_number() OVER (PARTITION BY transcript_file ORDER BY n DESC, first) = 1""",
+    "placeholder_names": f"SELECT {_STANDS_IN} AS placeholder, count(*) AS n FROM records GROUP BY 1",
+    "respondent_names": f"""WITH n AS (SELECT transcript_file, CASE WHEN NOT {_STANDS_IN} THEN trim(respondent) END AS name, count(*) AS n, min(doc_id) AS first FROM documents WHERE transcript_file IS NOT NULL GROUP BY 1, 2)
+ SELECT transcript_file, coalesce(name, 'unknown') AS name FROM n QUALIFY row_number() OVER (PARTITION BY transcript_file ORDER BY name IS NULL, n DESC, first) = 1""",
+    "code_audit": f"""WITH {CODES},
+ r AS (SELECT record_id, seg_pos, code_pos, dimension, polarity, coalesce(trim(c.rationale), '') AS rationale, CASE WHEN coalesce(trim(raw), '') = '' THEN 'malformed' WHEN dimension IS NULL THEN 'unknown_dimension'
+  WHEN polarity IS NULL THEN 'no_polarity' WHEN regexp_matches(coalesce(trim(c.rationale), ''), '{_ABSENT}') THEN 'absence_as_evidence' END AS reason FROM clean),
+ k AS (SELECT coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY record_id, seg_pos, dimension, polarity, rationale, reason IS NULL ORDER BY code_pos) > 1 THEN 'duplicate' END) AS reason FROM r)
+ SELECT reason, count(*) AS n FROM k WHERE reason IS NOT NULL GROUP BY 1""",
     "discover_terms": f"""WITH {_WORDS.format(extra="", keys="")},
  ng AS (SELECT n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS term FROM toks CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n)),
  c AS (SELECT n, term, count(*) AS freq FROM ng GROUP BY 1, 2), uni AS (SELECT term AS word, freq AS f FROM c WHERE n = 1), tot AS (SELECT sum(f)::DOUBLE AS t FROM uni),

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_STRING_OR_COMMA = re.compile(r'(?P<string>"(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', re.S)
 _FENCE = re.compile(r"```(?:json)?\s*\n?(.*?)```", re.S | re.I)
 
 
@@ -53,6 +54,11 @@ def _line_breaks(text: str) -> str:
     return "".join(out)
 
 
+def _no_trailing_commas(text: str) -> str:
+    """Commas before a closing bracket dropped; strings stay as they are."""
+    return _STRING_OR_COMMA.sub(lambda m: m["string"] or "", text)
+
+
 def repair(text: str | None) -> str | None:
     """Normalised JSON of an answer, or null: tried as it is, fenced, first balanced part, with raw line breaks escaped and trailing commas dropped."""
     if not text or not text.strip():
@@ -62,7 +68,7 @@ def repair(text: str | None) -> str | None:
     tries = [text, *([fenced.group(1)] if fenced else [])]
     tries += [b for t in tries[::-1] if (b := first_balanced(t))]
     for t in tries:
-        for fix in (t, _line_breaks(t), re.sub(r",(\s*[}\]])", r"\1", _line_breaks(t))):
+        for fix in (t, _line_breaks(t), _no_trailing_commas(_line_breaks(t))):
             try:
                 value = json.loads(fix)
             except (ValueError, RecursionError):
