@@ -14,6 +14,7 @@ white space excluded. A text without stops is one sentence per line or gap.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -91,27 +92,46 @@ LINES = [
     _yes("gap", rf"[^\s]", r"(?:[　]|[^\S\n\r]{2,})\s*\S"),
 ]
 
-#: Stops inside a quotation or brackets end nothing.
+@dataclass(frozen=True)
+class Enclosure:
+    """No break inside what ``pattern`` matches, found by one scan of the text however long it is.
+
+    Inside is from after the match's group ``open`` (else its first character) to before its
+    group ``close`` (else its last one).
+    """
+
+    name: str
+    pattern: regex.Pattern
+
+    def intervals(self, text: str) -> Iterator[tuple[int, int]]:
+        """(first, last) position without a break, per match."""
+        named = self.pattern.groupindex
+        for m in self.pattern.finditer(text):
+            yield (m.end("open"), m.start("close")) if named else (m.start() + 1, m.end() - 1)
+
+
+#: Stops inside a quotation or brackets end nothing. A mark runs to the next one of its kind in the line.
 QUOTES = [
-    _no("double curly", r"“[^“”\n]{0,2000}", r"[^“”\n]{0,2000}”", "”"),
-    _no("low-high", r"„[^„“”\n]{0,2000}", r"[^„“”\n]{0,2000}[“”]", "„"),
-    _no("guillemets", r"«[^«»\n]{0,2000}", r"[^«»\n]{0,2000}»", "»"),
-    _no("corner", r"「[^「」\n]{0,2000}", r"[^「」\n]{0,2000}」", "」"),
-    _no("white corner", r"『[^『』\n]{0,2000}", r"[^『』\n]{0,2000}』", "』"),
-    _no("straight", r"^[^\"\n]*(?:\"[^\"\n]*\"[^\"\n]*)*\"[^\"\n]*", r"[^\"\n]*\"", '"'),
-    _no("single", r"(?<![\p{L}\p{N}])['‘](?=\p{L})(?:(?![.!?,…]['’](?!\p{L}))[^\n]){0,600}", r"(?:(?!(?<![\p{L}\p{N}])['‘]\p{L})[^\n]){0,600}?[.!?,…]['’](?!\p{L})", "'‘"),
-    _no("brackets", r"[(（\[【][^()（）\[\]【】\n]{0,2000}", r"[^()（）\[\]【】\n]{0,2000}[)）\]】]", ")）]】"),
+    Enclosure("double curly", regex.compile(r"“[^“”\n]*+”")),
+    Enclosure("low-high", regex.compile(r"„[^„“”\n]*+[“”]")),
+    Enclosure("guillemets", regex.compile(r"«[^«»\n]*+»")),
+    Enclosure("corner", regex.compile(r"「[^「」\n]*+」")),
+    Enclosure("white corner", regex.compile(r"『[^『』\n]*+』")),
+    Enclosure("straight", regex.compile(r"\"[^\"\n]*+\"")),
+    Enclosure("single", regex.compile(r"(?P<open>(?<![\p{L}\p{N}])['‘](?=\p{L}))(?:(?!(?<![\p{L}\p{N}])['‘]\p{L}|[.!?,…]['’](?!\p{L}))[^\n])*+(?P<close>[.!?,…]['’](?!\p{L}))")),
+    Enclosure("brackets", regex.compile(r"[(（\[【][^()（）\[\]【】\n]*+[)）\]】]")),
 ]
+_ENCLOSING = regex.compile(r"[“„«「『\"'‘(（\[【]")
 
 #: What follows a closed quotation in the scripts without case.
 CJK = [
     _no("reported by a particle", r"[」』”]", r"\s*(?:と|って|という|など|の|は|が|を|に|も|で)"),
-    _no("quotation opens the sentence", r"(?:^|[。！？!?」』）)\s])[「『“][^「」『』“”\n]{0,2000}[」』”]", r"\p{Han}"),
+    _no("quotation opens the sentence", r"(?:^|[。！？!?」』）)\s])[「『“][^「」『』“”\n]*+[」』”]", r"\p{Han}"),
     _no("hesitation", r"(?:…|⋯|\.\.|・・)", r"[^\s]"),
     _no("before closing or pause", r"[。！？｡!?」』”’）)】]", r"\s*[，、；：,;:…」』”）)】]"),
     _yes("stop", rf"[{CJK_STOP}][」』”’）)】]*", r"[\s\S]"),
     _no("full stop of numbers and names", r"[.．]", r"[\s\S]"),
-    _yes("closed quotation after a lead-in", r"[：:，,][「『“][^「」『』“”\n]{0,2000}[。！？!?…][」』”]", r"\s*\S"),
+    _yes("closed quotation after a lead-in", r"[：:，,][「『“][^「」『』“”\n]*+[。！？!?…][」』”]", r"\s*\S"),
 ]
 
 THAI = [
@@ -143,7 +163,7 @@ GERMAN = [
 LATIN = [
     _no("inside an address", r"[\p{L}\p{N}._%+-]{0,80}[.]", r"[\p{L}\p{N}._%+-]{0,80}@", "@"),
     _no("inside a host name", r"[@/][\p{L}\p{N}.-]{0,120}[.]", r"[\p{L}\p{N}]", "@/"),
-    _yes("brackets of their own", r"(?:^|[.!?…”\"»’)]\s+)[(\[]\p{Lu}[^()\[\]\n]{0,2000}[.!?…][)\]]", r"\s+\S", ")]"),
+    _yes("brackets of their own", r"(?:^|[.!?…”\"»’)]\s+)[(\[]\p{Lu}[^()\[\]\n]*+[.!?…][)\]]", r"\s+\S", ")]"),
     _no("continued after a quotation", rf"[{STOP}][”’»“\"')\]]+", r"\s*(?:[,;:–—-]|\p{Ll}+\b(?!:))", "”’»“\"')]"),
     _no("hesitation", r"(?:…|\.\.)", r"\s*[\p{Ll}\p{N}]"),
     _no("title", rf"(?<![\p{{L}}.])(?:{TITLES})\.", r"\s+\S"),
@@ -167,7 +187,7 @@ LATIN = [
 ]
 
 #: Language to its cascade of tables.
-CASCADES: dict[str, list[list[Rule]]] = {
+CASCADES: dict[str, list[list[Rule] | list[Enclosure]]] = {
     "zh": [LINES, QUOTES, CJK, LATIN],
     "ja": [LINES, QUOTES, CJK, LATIN],
     "th": [LINES, QUOTES, THAI, LATIN],
@@ -203,8 +223,22 @@ _THAI_CANDIDATE = regex.compile(rf"\S(?=\s)|[{STOP}]+[{CLOSE}]*")
 
 
 @lru_cache(maxsize=None)
-def _tests(lang: str) -> list[tuple[regex.Pattern, bool, str]]:
-    return [(r.pattern, r.breaks, r.needs) for table in CASCADES[lang] for r in table]
+def _tables(lang: str) -> list[list[tuple[regex.Pattern, bool, str]] | None]:
+    """Compiled rules per table of a cascade; None stands for the enclosures."""
+    return [None if isinstance(table[0], Enclosure) else [(r.pattern, r.breaks, r.needs) for r in table] for table in CASCADES[lang]]
+
+
+def _inside(text: str) -> tuple[list[int], list[int]]:
+    """Firsts and lasts of the positions inside any enclosure, disjoint and in order."""
+    firsts, lasts = [], []
+    if _ENCLOSING.search(text):
+        for a, b in sorted(i for e in QUOTES for i in e.intervals(text)):
+            if lasts and a <= lasts[-1] + 1:
+                lasts[-1] = max(lasts[-1], b)
+            else:
+                firsts.append(a)
+                lasts.append(b)
+    return firsts, lasts
 
 
 def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
@@ -212,11 +246,23 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
     if not text or not text.strip():
         return []
     lang = lang if lang in CASCADES else language_of(text)
-    tests, cuts = [(p, breaks) for p, breaks, needs in _tests(lang) if not needs or any(c in text for c in needs)], []
-    for m in (_THAI_CANDIDATE if lang in _GAP_LANGUAGES else _CANDIDATE).finditer(text):
-        pos = m.end()
-        if pos < len(text) and next((breaks for p, breaks in tests if p.match(text, pos)), False):
-            cuts.append(pos)
+    firsts, lasts = _inside(text)
+    tables = [t and [(p, breaks) for p, breaks, needs in t if not needs or any(c in text for c in needs)] for t in _tables(lang)]
+
+    def breaks_at(pos: int) -> bool:
+        for table in tables:
+            if table is None:
+                k = bisect_right(firsts, pos) - 1
+                if k >= 0 and pos <= lasts[k]:
+                    return False
+                continue
+            for pattern, breaks in table:
+                if pattern.match(text, pos):
+                    return breaks
+        return False
+
+    found = (m.end() for m in (_THAI_CANDIDATE if lang in _GAP_LANGUAGES else _CANDIDATE).finditer(text))
+    cuts = [pos for pos in found if pos < len(text) and breaks_at(pos)]
     spans, start = [], 0
     for cut in [*sorted(set(cuts)), len(text)]:
         a, b = start, cut

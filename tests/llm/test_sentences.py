@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,3 +54,24 @@ def test_operator(spark):
     df = spark.createDataFrame([(1, "One. Two.", "x"), (1, "One. Two.", "x"), (2, None, "y"), (None, "Three", "z")], "id int, text string, start_pos string")
     assert sorted((r.id or 0, r.start_pos, r.end_pos) for r in split_sentences(df, ["id"], "text").collect()) == [(0, 0, 5), (1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
     assert split_sentences(df.limit(0), ["id"], "text").count() == 0
+
+
+def test_long_quotations():
+    """Stops inside a quotation of any length end nothing, and the time grows with the text."""
+    inner = "Well. I went there! Then I left. " * 3000
+    for a, b in ("“”", "«»", '""', "„“", "()"):
+        text = f"She said {a}{inner.strip()}{b} to us. Then she left."
+        assert [text[i:j] for i, j in sentence_spans(text)][1:] == ["Then she left."], a
+    text = f"She said: '{inner.strip()}' Then she left."
+    assert len(sentence_spans(text)) == 2
+    zh = "他說「{}」然後離開。再見。"
+    assert len(sentence_spans(zh.format("我們去了。然後走了。" * 3000))) == len(sentence_spans(zh.format("我們去了。"))) == 3
+    many = 'A "b" c. ' * 20_000
+    start = time.perf_counter()
+    sentence_spans(many)
+    assert time.perf_counter() - start < 20
+
+
+def test_unpaired_marks():
+    assert len(sentence_spans('He said "no. Then he left. They met.')) == 3
+    assert len(sentence_spans("“One. Two.\nThree. Four.”")) == 4
