@@ -13,6 +13,7 @@ digits and signs count as their ASCII forms, without moving positions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -186,6 +187,9 @@ NAMES_HAN = [
 ]
 
 
+#: What each pattern cannot do without.
+_HAN_NEEDS = [re.compile(x) for x in ("[請请聯联找訪访叫名我給给]", "[告說说表提跟對和]", "[さ様氏く]", "[先女小老醫医博教]")]
+
 _STOP_BEFORE = regex.compile(r"(?r)[\n。！？]|[.!?](?=\s)")
 
 
@@ -206,16 +210,23 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+#: A sign for "at" in brackets, or a word for the dot of a spelled-out address.
+_SPELLED_OUT = re.compile(r"[\[(]\s?(?:at|arroba|arobase|ät)\b|\s(?:dot|punto|point|punkt)\s", re.I)
+_ANY_DIGIT = re.compile(r"\d")
+
+
 def _emails(t: str) -> Iterator[tuple[int, int, str, float]]:
-    if "@" not in t and not regex.search(r"(?i)[\[(\s](?:at|arroba|arobase|ät)[\])\s]", t):
+    if "@" not in t and not _SPELLED_OUT.search(t):
         return
     for m in EMAIL.finditer(t):
         yield m.start(), m.end(), "EMAIL", 4.0
 
 
 def _phones(t: str) -> Iterator[tuple[int, int, str, float]]:
-    for m in PHONE.finditer(t):
+    for m in PHONE.finditer(t) if _ANY_DIGIT.search(t) else ():
         s = m.group()
+        if len(s) < 7:
+            continue
         core = regex.split(r"(?i)(?:ext|x|durchwahl|poste|分機|内線)", s)[0]
         digits = regex.sub(r"\D", "", core)
         if not 7 <= len(digits) <= 15:
@@ -243,7 +254,7 @@ def _phones(t: str) -> Iterator[tuple[int, int, str, float]]:
         if regex.search(r"(?i)(?:insurance|passport|ausweis|passeport|documento|身分證)[^.\n]{0,12}$", t[max(0, a - 30) : a]):
             score -= 2.0
         yield a, b, "PHONE", score
-    for p in (SPOKEN, SPOKEN_ZH):
+    for p in (SPOKEN,) if t.isascii() else (SPOKEN, SPOKEN_ZH):
         for m in p.finditer(t):
             yield m.start(), m.end(), "PHONE", 2.0 + _near(t, *m.span(), PHONE_WORDS)
 
@@ -252,7 +263,7 @@ _ID_BASE = {"nino": 2.5, "ssn": 1.5, "slash": 1.5, "tw": 1.5, "pass": 0.5, "iban
 
 
 def _ids(t: str) -> Iterator[tuple[int, int, str, float]]:
-    for m in IDNUM.finditer(t):
+    for m in IDNUM.finditer(t) if _ANY_DIGIT.search(t) else ():
         kind, s = m.lastgroup, m.group()
         score = _ID_BASE[kind]
         bare = regex.sub(r"[\s\-]", "", s)
@@ -271,9 +282,10 @@ def _ids(t: str) -> Iterator[tuple[int, int, str, float]]:
 
 
 def _addresses(t: str) -> Iterator[tuple[int, int, str, float]]:
-    if not regex.search(r"\d", t):
+    if not _ANY_DIGIT.search(t):
         return
-    for score, p in _ADDRESSES:
+    # The last two are for scripts without blanks.
+    for score, p in _ADDRESSES[:-2] if t.isascii() else _ADDRESSES:
         for m in p.finditer(t):
             a, b = m.span()
             han = regex.match(r"\p{Han}", t[a])
@@ -319,10 +331,11 @@ def _names(t: str) -> Iterator[tuple[int, int, str, float]]:
             if regex.search(r"(?i)\b(?:and|with|by|to|from|for|of|und|et|y|con|de|mit|avec)\s$", t[max(0, a - 6) : a]):
                 score += 0.5
             yield a, b, "NAME", score
-    if regex.search(r"\p{Han}", t):
-        for p in NAMES_HAN:
-            for m in p.finditer(t):
-                yield *m.span("n"), "NAME", 3.0
+    if not t.isascii():
+        for p, needs in zip(NAMES_HAN, _HAN_NEEDS):
+            if needs.search(t):
+                for m in p.finditer(t):
+                    yield *m.span("n"), "NAME", 3.0
 
 
 FINDERS: tuple[Callable, ...] = (_emails, _phones, _ids, _addresses, _names)
@@ -332,7 +345,7 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int
     """Non-overlapping (start, end, kind, score), sorted by start."""
     if not text:
         return []
-    t = text.translate(_WIDE)
+    t = text if text.isascii() else text.translate(_WIDE)
     found = [x for f in FINDERS for x in f(t) if x[3] >= threshold and x[1] > x[0]]
     found.sort(key=lambda x: (-x[3], x[0] - x[1], x[0]))
     kept: list[tuple[int, int, str, float]] = []
