@@ -179,6 +179,21 @@ _G = "|".join(GIVEN_NAMES)
 #: A given name and a surname side by side, without other words calling for a name.
 FULL_NAME = regex.compile(rf"(?<![\p{{L}}'’.@+_\-])(?:{_G})\s(?:(?:\p{{Lu}}\.\s?)*(?:{PARTICLE}\s)?{_ONE})(?![\p{{L}}@+_])")
 INITIAL_NAME = regex.compile(rf"(?<![\p{{L}}'’.@+_\-])(?!P\.?\s?O\.?\sBox)(?:\p{{Lu}}\.\s?){{1,3}}(?:{PARTICLE}\s)?{_ONE}(?![\p{{L}}@+_])")
+#: Two to four capitalised words, whatever they are: a name only with words around it that go with persons.
+PERSON_SHAPE = regex.compile(rf"(?<![\p{{L}}'’.@+_\-])\p{{Lu}}[\p{{Ll}}'’]+(?:-\p{{Lu}}[\p{{Ll}}]+)?(?:\s(?:\p{{Lu}}\.\s?)*(?:{PARTICLE}\s)?{_ONE}){{1,2}}(?![\p{{L}}@+_])")
+PERSON_SHAPE = regex.compile(PERSON_SHAPE.pattern.replace(_S, _B))
+OPENERS = frozenset("yesterday today tomorrow later finally then once maybe perhaps even only also when while because although after before since and but so if that".split())
+# --- Fixed values: what persons do, and who persons are to others ---
+PERSON_AFTER = regex.compile(
+    r",?\s(?:who\b(?!se)|(?:has|had|also|once|always|never|then|later)?\s?(?:said|says|told|tells|asked|asks|explained|explains|replied|answered|thinks|thought|believes|believed|remembers|remembered|recalls|recalled|wrote|writes|"
+    r"complained|agreed|insisted|laughed|cried|phoned|rang|lives|lived|works|worked|mentioned|admitted|apologised|apologized|died|married|retired|smiled|is\s(?:my|our|his|her|their)|was\s(?:my|our|his|her|their)))\b")
+PERSON_BEFORE = regex.compile(
+    r"(?i)\b(?:(?:named|name\sis|name\swas|i\sam|i['’]m|neighbou?r|friend|cousin|sister|brother|husband|wife|son|daughter|mother|father|aunt|uncle|boss|supervisor|teacher|nurse|midwife|colleague|tenant|patient|client|"
+    r"respondent|interviewee|participant|caller|widow|widower),?|(?:thanks\sto|spoke\s(?:to|with)|talked\s(?:to|with)|married\s(?:to)?|met\swith|signed\sby|interview\swith|according\sto))\s$")
+_NOT_PERSONS = regex.compile(
+    r"\b(?:Port|Saint|Mount|Lake|River|North|South|East|West|New|Upper|Lower|Great|Little|Old|Council|Committee|Party|Ministry|Department|Union|Association|Society|Company|Group|Team|Agency|Authority|Service|Services|Club|Church|"
+    r"County|City|Town|Village|Island|Valley|Hills?|Mill|Forest|Market|Square|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December|"
+    r"Google|Microsoft|Excel|Word|Internet|Version|Speaker|Interviewer|Respondent|Moderator|Chair|Witness)\b")
 NAMES_HAN = [
     regex.compile(r"(?:請找|请找|聯絡|联络|找到|訪問|访问|叫做|名叫|我是|給|给)(?P<n>[" + SURNAMES_ZH + r"]\p{Han}{1,2})(?=[，。,.！!、\s（(]|$|電話|电话|老師|先生|女士|小姐)"),
     regex.compile(r"(?:^|[。！？!?」』　\n\s：:，])(?P<n>[" + SURNAMES_ZH + r"]\p{Han}{1,2})(?=(?:告訴|告诉|說|说|表示|提到|跟我|對我|和我)(?:我|過|了|，|：)?)"),
@@ -244,10 +259,11 @@ def _phones(t: str) -> Iterator[tuple[int, int, str, float]]:
         if len(s) > len(core):
             score += 1.0
         if _near(t, a, b, PHONE_WORDS):
-            score += 1.0
+            # With such a word a number of national length needs no other sign.
+            score += 1.5 if 9 <= len(digits) <= 12 else 1.0
         if regex.search(r"@[\w.\-]+\s*/\s*$|\bdot\s\w+\s*/\s*$|[\])]\s?[\w.\-]+\s*/\s*$", t[max(0, a - 60) : a]):
             score += 2.0
-        if regex.match(r"\d{4}-\d{2}-\d{2}$", s) or regex.match(r"\d{1,3}(?: \d{3})+$", s):
+        if regex.match(r"\d{4}-\d{2}-\d{2}$", s) or regex.match(r"\d{1,3}(?: \d{3})+$", s) and not (len(digits) == 9 and _near(t, a, b, PHONE_WORDS, 20, 0, True)):
             score -= 2.0
         if _near(t, a, b, NOT_NUMBERS, 24, 0, True):
             score -= 3.0
@@ -268,7 +284,7 @@ def _ids(t: str) -> Iterator[tuple[int, int, str, float]]:
         score = _ID_BASE[kind]
         bare = regex.sub(r"[\s\-]", "", s)
         if kind == "tw" and taiwan_id(bare) or kind == "iban" and mod97(bare) or kind in ("grouped", "long") and luhn(bare):
-            score += 1.5
+            score += 2.0
         if kind == "nino" and not (" " in s or s.isupper() or s.islower()):
             score -= 1.0
         a, b = m.span()
@@ -331,6 +347,17 @@ def _names(t: str) -> Iterator[tuple[int, int, str, float]]:
             if regex.search(r"(?i)\b(?:and|with|by|to|from|for|of|und|et|y|con|de|mit|avec)\s$", t[max(0, a - 6) : a]):
                 score += 0.5
             yield a, b, "NAME", score
+    for m in PERSON_SHAPE.finditer(t):
+        a, b = m.span()
+        score = 0.5 + 1.75 * bool(PERSON_AFTER.match(t, b)) + 1.75 * bool(PERSON_BEFORE.search(t, max(0, a - 24), a))
+        if score < THRESHOLD:
+            continue
+        words = m.group().split()
+        # The first word of a sentence is often none of the name; after an article stands no person.
+        if words[0].lower() in OPENERS:
+            a, words = a + len(words[0]) + 1, words[1:]
+        if len(words) > 1 and not any(w.lower() in NOT_NAMES for w in words) and not (ORG_AFTER.match(t, b) or ORG_AFTER.search(t[a:b]) or _NOT_PERSONS.search(t[a:b])):
+            yield a, b, "NAME", score
     if not t.isascii():
         for p, needs in zip(NAMES_HAN, _HAN_NEEDS):
             if needs.search(t):

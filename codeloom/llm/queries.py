@@ -77,9 +77,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_masked(spark: SparkSession, d: str) -> DataFrame:
-    """Texts and quotes with placeholders."""
+    """Texts and quotes with placeholders; repeated rows of a record count once."""
     seg = _segments(spark, d, "full_text", "quote")
-    return seg.select("record_id", "segment_id", pii.mask(F.col("full_text")).alias("full_text"), pii.mask(F.col("quote")).alias("quote"))
+    return seg.select("record_id", "segment_id", pii.mask(F.col("full_text")).alias("full_text"), pii.mask(F.col("quote")).alias("quote")).distinct()
 
 
 def _sizes(spark: SparkSession, d: str, *keys: str) -> DataFrame:
