@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.arrays import pairs_of
@@ -15,16 +15,16 @@ def cooccurrence(long: DataFrame, unit: list[str], code: str = "code") -> DataFr
     """(code_a, code_b, n, jaccard) of codes that occur together in a unit, code_a < code_b.
 
     A code counts once per unit. Each unit's distinct codes become one array, which is as
-    long as the framework has codes; its pairs are exploded and pre-aggregated, so no
-    self-join is needed. Null codes are dropped.
+    long as the framework has codes; its pairs, each code with itself among them, are
+    exploded and pre-aggregated in one pass over the input. The totals of the codes are the
+    diagonal of that small table, read by windows over it. Null codes are dropped.
     """
     sets = long.filter(F.col(code).isNotNull()).groupBy(*unit).agg(F.array_sort(F.collect_set(code)).alias("codes"))
-    pairs = sets.filter(F.size("codes") > 1).select(F.explode(pairs_of(F.col("codes"), "code_a", "code_b")).alias("p")).groupBy("p.code_a", "p.code_b").agg(F.count("*").alias("n"))
-    totals = sets.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("t"))
-    a = totals.select(F.col("code").alias("code_a"), F.col("t").alias("ta"))
-    b = totals.select(F.col("code").alias("code_b"), F.col("t").alias("tb"))
-    joined = pairs.join(a, "code_a").join(b, "code_b")
-    return joined.select("code_a", "code_b", "n", (F.col("n") / (F.col("ta") + F.col("tb") - F.col("n"))).alias("jaccard"))
+    diagonal = F.transform("codes", lambda c: F.struct(c.alias("code_a"), c.alias("code_b")))
+    cells = sets.select(F.explode(F.concat(diagonal, pairs_of(F.col("codes"), "code_a", "code_b"))).alias("p")).groupBy("p.code_a", "p.code_b").agg(F.count("*").alias("n"))
+    on_diagonal = F.when(F.col("code_a") == F.col("code_b"), F.col("n"))
+    with_totals = cells.withColumn("ta", F.max(on_diagonal).over(Window.partitionBy("code_a"))).withColumn("tb", F.max(on_diagonal).over(Window.partitionBy("code_b")))
+    return with_totals.filter("code_a <> code_b").select("code_a", "code_b", "n", (F.col("n") / (F.col("ta") + F.col("tb") - F.col("n"))).alias("jaccard"))
 
 
 def totals(long: DataFrame, unit: list[str], code: str = "code") -> DataFrame:

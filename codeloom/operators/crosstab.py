@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 from codeloom.framework import UNSPECIFIED
 from codeloom.functions.stats import chi2_p
+from codeloom.session import materialise
+
+
+#: Codes of a framework for which a dense matrix is made.
+MAX_CODES = 10_000
 
 
 def crosstab(long: DataFrame, by: str, unit: str) -> DataFrame:
@@ -50,8 +55,10 @@ def case_matrix(long: DataFrame, codes: DataFrame, by_percent: bool = False) ->
     """(respondent, code, n[, pct]) for every respondent and every code of the framework.
 
     ``codes`` (column ``code``) is the framework's code table: a few rows that are joined
-    to every respondent because every cell must be there.
+    to every respondent because every cell must be there. One of more than ``MAX_CODES`` is refused.
     """
+    if codes.limit(MAX_CODES + 1).count() > MAX_CODES:
+        raise ValueError(f"more than {MAX_CODES} codes")
     counts = long.filter("code is not null").groupBy("respondent", "code").agg(F.count("*").alias("n"))
     people = long.filter("respondent is not null").select("respondent").distinct()
     names = F.array_sort(F.collect_set("code"))
@@ -124,13 +131,14 @@ def test_sweep(long: DataFrame, descriptors: list[str], units: list[str], drop_u
     pairs = pairs.select("respondent", F.col("d.name").alias("descriptor"), F.col("d.value").alias("by"), F.col("u.name").alias("unit_kind"), F.col("u.value").alias("unit")).filter("by is not null and unit is not null")
     if drop_unspecified:
         pairs = pairs.filter(F.col("by") != UNSPECIFIED)
-    counts = pairs.groupBy("respondent", "descriptor", "by", "unit_kind", "unit").agg(F.count("*").alias("k"))
+    # Counted once and written, as is the small table of cells: both are read several times below.
+    counts = materialise(pairs.groupBy("respondent", "descriptor", "by", "unit_kind", "unit").agg(F.count("*").alias("k")), "sweep")
     segment = counts.groupBy("descriptor", "unit_kind", "by", "unit").agg(F.sum("k").alias("n")).withColumn("level", F.lit("segment"))
     w = Window.partitionBy("respondent", "descriptor", "unit_kind")
     modal = counts.withColumn("best", F.max("k").over(w)).withColumn("b", F.min("by").over(w)).filter("k = best").groupBy("respondent", "descriptor", "unit_kind").agg(
         F.when(F.countDistinct("unit") == 1, F.min("unit")).otherwise("mixed").alias("unit"), F.min("b").alias("by"))
     case = modal.groupBy("descriptor", "unit_kind", "by", "unit").agg(F.count("*").alias("n")).withColumn("level", F.lit("case"))
-    return chi_square(segment.unionByName(case), ["descriptor", "unit_kind", "level"])
+    return chi_square(materialise(segment.unionByName(case), "cells"), ["descriptor", "unit_kind", "level"])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -35,12 +35,14 @@ def contained(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     outer text of its key holds is dropped at once. So a key with many texts is not paired
     with itself, and the result is exact.
     """
-    og = outer.select(key, "o", F.col("t").alias("ot"), F.explode(_grams(F.col("t"))).alias("g"))
+    og = outer.select(key, "o", F.explode(_grams(F.col("t"))).alias("g"))
     counts = og.groupBy(key, "g").agg(F.count("*").alias("f"))
     ig = inner.select(key, "i", F.explode(_grams(F.col("t"))).alias("g")).join(counts, [key, "g"], "left")
     rare = ig.groupBy(key, "i").agg(F.min_by("g", F.struct("f", "g")).alias("g"), F.min(F.coalesce("f", F.lit(0))).alias("least")).filter("least > 0").select(key, "i", "g")
-    probes = rare.join(inner.select(key, "i", F.col("t").alias("it")).distinct(), [key, "i"])
-    return probes.join(og, [key, "g"]).filter(F.contains("ot", F.col("it"))).select("i", "o").distinct()
+    # Grams travel with ids alone; texts are fetched for the candidates.
+    candidates = rare.join(og, [key, "g"]).select(key, "i", "o").distinct()
+    texts = candidates.join(inner.select(key, "i", F.col("t").alias("it")).distinct(), [key, "i"]).join(outer.select(key, "o", F.col("t").alias("ot")).distinct(), [key, "o"])
+    return texts.filter(F.contains("ot", F.col("it"))).select("i", "o").distinct()
 
 
 def locate_quotes(quotes: DataFrame, units: DataFrame, key: str = "respondent") -> DataFrame:

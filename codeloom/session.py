@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,19 +12,30 @@ from pyspark.sql import functions as F
 
 #: Rows up to which the small side of a join may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
+_KNOWN: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared scratch folder of the session.
+    """Shared scratch folder of the session, one per application, deleted when it ends.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    one machine) a folder below the machine's temporary directory is used.
+    The cluster names its parent in ``spark.checkpoint.dir``; without it a session on a
+    cluster is refused, since executors do not share their machines' folders. Only in local
+    mode (tests, one machine) a folder below the temporary directory takes its place.
     """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "codeloom-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    own = f"{base.rstrip('/')}/codeloom-{context.applicationId}"
+    if own not in _KNOWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _KNOWN.add(own)
+    return own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -45,7 +57,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged.
 
-    The check reads at most ``rows + 1`` rows, so it is cheap however large ``df`` is.
+    The check runs ``df`` up to its last shuffle and stops after ``rows + 1`` rows: cheap on
+    tables and narrow plans. Give it a materialised table where aggregates or joins lie below.
     """
     few = df.limit(rows + 1).count() <= rows
     return F.broadcast(df) if few else df
