@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +80,11 @@ def clean_label(raw: Column) -> Column:
 def label_key(raw: Column) -> Column:
     """Join key of a label: cleaned and lower case."""
     return F.lower(clean_label(raw))
+
+
+def clean_text(raw: str | None) -> str:
+    """:func:`clean_label` of one label outside of Spark; null gives ''."""
+    t = re.sub(r"\s+", " ", raw or "")
+    t = re.sub(r"(?i)^(\s*(\[\s*\d+\s*[x×]\s*\]|\[\s*new( code)?\s*\]|【[^】]*】|new( code)?\s*[:：]|[-*•#>]+ ))+", "", t)
+    t = re.sub(r"——.*$", "", re.sub(r"\s[—–-]+\s.*$", "", t))
+    return re.sub(r"^[\s\"'“”‘’«»「『*_`]+|[\s\"'“”‘’«»」』*_`.。．!！?？;；:：,，、…]+$", "", t)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.labels import clean_label, label_key
+from codeloom.functions.labels import clean_label, clean_text, label_key
 
 EXAMPLES = 8
 
@@ -80,10 +82,64 @@ def dice_pairs(labels: DataFrame, keys: list[str], label: str = "label", least:
     return cand.withColumn("dice", 2.0 * F.size(F.array_intersect("ga", "gb")) / (sa + sb)).filter(F.col("dice") >= least).drop("ga", "gb")
 
 
-def merge_codes(codes: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(codebook_id, label, count, merged_from) after mapping (codebook_id, label, into): counts add up."""
+def grow_books(windows: DataFrame, coder: Callable[[str, list[dict]], list[dict]], book: str = "codebook_id", order: tuple[str, ...] = ("record_id", "chunk")) -> DataFrame:
+    """Open coding in which every window sees the codes of those before it: one row per code given.
+
+    ``windows``: ``book``, the ``order`` columns and text. ``coder(text, codes)`` gets the book so
+    far (label, definition, count in order of creation) and returns segments with
+    ``open_codes`` (label, definition). Result: book, order columns, seg_pos, code_pos,
+    quote, code_id, label, created, error. A label is the code of the first label with its
+    key; a window whose coder fails keeps one row with the error. A book's windows depend
+    on one another, so a book is one task; its texts pass through in batches, what is held
+    is the book.
+    """
+    keys = [book, *order]
+    slim = windows.select(*keys, "text")
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
+    names = [*keys, "seg_pos", "code_pos", "quote", "code_id", "label", "created", "error"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        books: dict = {}
+        now = None
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if row[0] != now:
+                    now, books = row[0], {}
+                given = [dict(c) for c in books.values()]
+                try:
+                    segments = coder(row[-1], given)
+                except Exception as e:  # noqa: BLE001
+                    out.append((*row[:-1], None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    continue
+                for i, segment in enumerate(segments):
+                    for j, c in enumerate(segment.get("open_codes") or []):
+                        label = clean_text(c.get("label"))
+                        if not label:
+                            continue
+                        known = books.get(label.lower())
+                        if known is None:
+                            books[label.lower()] = known = {"code_id": f"c{len(books) + 1:03d}", "label": label, "definition": c.get("definition") or "", "count": 0}
+                        known["count"] += 1
+                        out.append((*row[:-1], i, j, segment.get("quote"), known["code_id"], known["label"], known["count"] == 1, None))
+            yield pd.DataFrame(out, columns=names)
+
+    ordered = slim.repartition(F.col(book)).sortWithinPartitions(*keys)
+    return ordered.mapInPandas(run, f"{head}, seg_pos int, code_pos int, quote string, code_id string, label string, created boolean, error string")
+
+
+def merge_codes(codes: DataFrame, mapping: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """(codebook_id, label, count, merged_from[, examples]) after mapping (codebook_id, label, into).
+
+    Counts add up; of the examples, where ``codes`` has them, the first ``examples`` are
+    kept, those of the code that stays before those of the codes merged into it.
+    """
     m = codes.join(mapping, ["codebook_id", "label"], "left").withColumn("target", F.coalesce("into", "label"))
-    return m.groupBy("codebook_id", F.col("target").alias("label")).agg(F.sum("count").alias("count"), F.array_sort(F.collect_set(F.when(F.col("into").isNotNull(), F.col("label")))).alias("merged_from"))
+    agg = [F.sum("count").alias("count"), F.array_sort(F.collect_set(F.when(F.col("into").isNotNull(), F.col("label")))).alias("merged_from")]
+    if "examples" in codes.columns:
+        parts = F.array_sort(F.collect_list(F.struct(F.col("into").isNotNull().alias("o"), "label", F.slice(F.coalesce("examples", F.array().cast(codes.schema["examples"].dataType)), 1, examples).alias("e"))))
+        agg.append(F.slice(F.flatten(F.transform(parts, lambda x: x["e"])), 1, examples).alias("examples"))
+    return m.groupBy("codebook_id", F.col("target").alias("label")).agg(*agg)
 
 
 def rewrite_labels(rows: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -134,14 +190,24 @@ def prompt_codes(codes: DataFrame, n: int = 60) -> DataFrame:
 
 
 def to_framework(codes: DataFrame) -> DataFrame:
-    """Codebook as a framework table without polarity: (framework_id, dim_ord, dimension, short_code, label_en)."""
+    """Codebook as a framework table without polarity: (framework_id, dim_ord, dimension, short_code, label_en); without any code it is refused."""
+    if codes.isEmpty():
+        raise ValueError("no code is left to make a framework of")
     return codes.select(F.col("codebook_id").alias("framework_id"), (F.col("code_no") - 1).alias("dim_ord"), F.regexp_replace(F.lower("label"), r"[^\p{L}\p{N}]+", "_").alias("dimension"), F.upper(F.col("code_id")).alias("short_code"), F.col("label").alias("label_en"))
 
 
-def map_to_reference(uses: DataFrame, reference: DataFrame) -> DataFrame:
-    """Open codes (unit_id, label) against reference dimensions (unit_id, dimension): mapped (majority), mixed, or outside."""
-    shared = uses.select("unit_id", "label").distinct().join(reference.select("unit_id", "dimension").distinct(), "unit_id", "left")
-    n = shared.groupBy("label", "dimension").agg(F.count("*").alias("n"))
-    g = n.groupBy("label").agg(F.sum(F.when(F.col("dimension").isNotNull(), F.col("n"))).alias("located"), F.max(F.when(F.col("dimension").isNotNull(), F.struct("n", "dimension"))).alias("top"))
-    kind = F.when(F.col("located").isNull(), "outside").when(F.col("top.n") / F.col("located") > 0.5, "mapped").otherwise("mixed")
-    return g.select("label", kind.alias("kind"), F.when(kind == "mapped", F.col("top.dimension")).alias("dimension"))
+def map_to_reference(uses: DataFrame, reference: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """Open codes (unit_id, label) against reference dimensions (unit_id, dimension), per label.
+
+    mapped: one dimension in more than half of the units; outside: no unit has a dimension;
+    else mixed; unlocated: in no unit at all, for the labels of ``codes`` where given.
+    Of equally common dimensions the first by name.
+    """
+    units = uses.filter("unit_id is not null and label is not null").select("unit_id", "label").distinct()
+    shared = units.join(reference.filter("dimension is not null").select("unit_id", "dimension").distinct(), "unit_id", "left")
+    top = shared.filter("dimension is not null").groupBy("label", "dimension").agg(F.count("*").alias("n")).groupBy("label").agg(F.min(F.struct((-F.col("n")).alias("n"), "dimension")).alias("top"))
+    out = units.groupBy("label").agg(F.count("*").alias("units")).join(top, "label", "left")
+    if codes is not None:
+        out = codes.select("label").filter("label is not null").distinct().join(out, "label", "left")
+    kind = F.when(F.col("units").isNull(), "unlocated").when(F.col("top").isNull(), "outside").when(-F.col("top.n") / F.col("units") > 0.5, "mapped").otherwise("mixed")
+    return out.select("label", kind.alias("kind"), F.when(kind == "mapped", F.col("top.dimension")).alias("dimension"))

@@ -142,12 +142,73 @@ def contract_verdict(answers: DataFrame) -> DataFrame:
     return r.withColumn("verdict", F.when(F.col("rate") >= 0.9, "ok").when(F.col("rate") >= 0.6, "shaky").otherwise("failing"))
 
 
-def fit_batch(sizes: list[int], room: int, start: int = 60) -> int:
-    """Largest batch (steps of ten, then five) whose longest run of items fits in ``room`` tokens."""
-    n = start
-    while n > 5 and any(sum(sizes[i : i + n]) > room for i in range(0, len(sizes), n)):
-        n -= 10 if n > 20 else 5
-    return max(n, 5)
+#: Fixed value: the smallest batch of items that makes sense.
+SMALLEST_BATCH = 5
+
+
+def fit_batch(sizes: list[int], room: int | None, start: int = 60) -> int | None:
+    """Largest batch (steps of ten down to 20, then of five) whose longest run of items fits in ``room`` tokens; null where not even five fit, ``start`` without a limit."""
+    if room is None or not sizes:
+        return start
+    steps = [*range(start, 20, -10), *range(min(start, 20 if start > 20 else start), SMALLEST_BATCH - 1, -5)]
+    return next((n for n in steps if all(sum(sizes[i : i + n]) <= room for i in range(0, len(sizes), n))), None)
+
+
+def aggregate(provisional: DataFrame, generate: Callable[[list[dict]], list[dict]], dimensions: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Stage 2: final themes from provisional ones (batch, name, member_ids) by an injected generator.
+
+    The generator gets all provisional themes (as many as stage 1 makes of a study; more than
+    ``MAX_CODES`` are refused) and returns themes with ``merged_from``. Result: (themes,
+    members): themes as :func:`migrate_themes` leaves them with their number; members
+    (theme_id, global_id) through ``merged_from``. Provisional ids: P001 in order of batch
+    and name.
+    """
+    rows = provisional.orderBy("batch", "name").limit(MAX_CODES + 1).collect()
+    if len(rows) > MAX_CODES:
+        raise ValueError(f"more than {MAX_CODES} provisional themes")
+    given = [{"provisional_id": f"P{i:03d}", "name": r["name"], "member_ids": list(r.member_ids or [])} for i, r in enumerate(rows, 1)]
+    members = {g["provisional_id"]: g["member_ids"] for g in given}
+    final = [migrate_theme(t, i, dimensions) for i, t in enumerate(generate(given), 1)]
+    spark = provisional.sparkSession
+    themes = spark.createDataFrame([tuple(t[k] for k in THEME_FIELDS) for t in final], THEME_SCHEMA)
+    pairs = [(t["theme_id"], m) for t in final for m in dict.fromkeys([*t["member_ids"], *(m for p in t["merged_from"] for m in members.get(p, []))])]
+    return themes, spark.createDataFrame(pairs, "theme_id string, global_id string")
+
+
+#: Fields of themes, their earlier names, and the values of two of them.
+THEME_FIELDS = ("theme_id", "theme_name", "theme_definition", "aggregate_dimension", "dimension_rationale", "frame_relation", "polarity_tendency", "member_ids", "merged_from")
+THEME_SCHEMA = ", ".join(f"{f} {'array<string>' if f in ('member_ids', 'merged_from') else 'string'}" for f in THEME_FIELDS)
+EARLIER = {"theme_id": "主題ID", "theme_name": "主題名稱", "theme_definition": "主題定義", "aggregate_dimension": "聚合維度", "dimension_rationale": "維度歸屬理由", "frame_relation": "框架關係", "polarity_tendency": "極性傾向", "member_ids": "構成ID", "merged_from": "合併自"}
+RELATIONS = {"aligned": "aligned", "extends": "extends", "contradicts": "contradicts", "吻合": "aligned", "延伸": "extends", "矛盾": "contradicts"}
+TENDENCIES = {"P": "P", "N": "N", "mixed": "mixed", "混合": "mixed"}
+
+
+def migrate_theme(raw: dict | None, number: int, dimensions: list[str], aliases: dict[str, str] | None = None) -> dict:
+    """A theme of any shape in the present one: unknown dimensions become unassigned, unknown relations aligned, unknown tendencies mixed, a missing id its number. Idempotent."""
+    get = lambda k, d: (raw or {}).get(k, (raw or {}).get(EARLIER[k], d))
+    dimension = (aliases or {}).get(get("aggregate_dimension", ""), get("aggregate_dimension", ""))
+    return {
+        "theme_id": get("theme_id", None) or f"T{number:02d}", "theme_name": get("theme_name", (raw or {}).get("name", "")), "theme_definition": get("theme_definition", (raw or {}).get("definition", "")),
+        "aggregate_dimension": dimension if dimension in dimensions else "unassigned", "dimension_rationale": get("dimension_rationale", ""),
+        "frame_relation": RELATIONS.get(get("frame_relation", ""), "aligned"), "polarity_tendency": TENDENCIES.get(get("polarity_tendency", ""), "mixed"),
+        "member_ids": list(get("member_ids", None) or []), "merged_from": list(get("merged_from", None) or [])}
+
+
+def migrate_themes(rows: DataFrame, dimensions: list[str], aliases: dict[str, str] | None = None, theme: str = "theme") -> DataFrame:
+    """Adds the fields of :func:`migrate_theme` to rows with a theme's JSON (``theme``) and its number in its set (``number``)."""
+
+    @F.pandas_udf(THEME_SCHEMA)
+    def run(t: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, k in zip(t, n):
+            try:
+                raw = json.loads(x) if x else {}
+            except ValueError:
+                raw = {}
+            out.append(migrate_theme(raw if isinstance(raw, dict) else {}, int(k), dimensions, aliases))
+        return pd.DataFrame(out, columns=list(THEME_FIELDS))
+
+    return rows.withColumn("__t", run(F.col(theme), F.col("number"))).select("*", "__t.*").drop("__t")
 
 
 def themes_json(rows: DataFrame) -> DataFrame:
