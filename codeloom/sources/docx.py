@@ -132,33 +132,59 @@ _RELS = _HEAD + '<Relationships xmlns="http://schemas.openxmlformats.org/package
 COLOURS = ("yellow", "green", "cyan", "magenta", "blue", "red", "darkYellow", "darkGreen", "darkCyan", "darkMagenta", "darkBlue", "darkRed", "lightGray", "darkGray")
 
 
-def write_docx(text: str, pieces: list[tuple[int, int, str]] | None = None) -> bytes:
-    """A Word file of ``text``; ``pieces`` (start, end, colour) are highlighted."""
-    from xml.sax.saxutils import escape
-
-    marks = sorted(pieces or [])
-
-    def runs(a: int, b: int) -> str:
-        out, at = [], a
-        for s, e, colour in marks:
-            s, e = max(s, a), min(e, b)
-            if s >= e:
-                continue
-            for x, y, c in ((at, s, None), (s, e, colour)):
-                if x < y:
-                    out.append(f'<w:r>{f"<w:rPr><w:highlight w:val={chr(34)}{c}{chr(34)}/></w:rPr>" if c else ""}<w:t xml:space="preserve">{escape(text[x:y])}</w:t></w:r>')
-            at = e
-        if at < b:
-            out.append(f'<w:r><w:t xml:space="preserve">{escape(text[at:b])}</w:t></w:r>')
-        return "".join(out)
-
-    body, at = [], 0
-    for line in text.split("\n"):
-        body.append(f"<w:p>{runs(at, at + len(line))}</w:p>")
-        at += len(line) + 1
-    doc = f'{_HEAD}<w:document xmlns:w="{W[1:-1]}"><w:body>{"".join(body)}</w:body></w:document>'
+_WP = W[1:-1]
+
+
+def package(body: str, comments: str = "") -> bytes:
+    """A Word file from the XML of its body and of its comments."""
+    parts = {"[Content_Types].xml": _TYPES, "_rels/.rels": _RELS, "word/document.xml": f'{_HEAD}<w:document xmlns:w="{_WP}"><w:body>{body}</w:body></w:document>'}
+    if comments:
+        kind = "application/vnd.openxmlformats-officedocument.wordprocessingml.comments+xml"
+        parts["[Content_Types].xml"] = _TYPES.replace("</Types>", f'<Override PartName="/word/comments.xml" ContentType="{kind}"/></Types>')
+        relation = '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/comments" Target="comments.xml"/>'
+        parts["word/_rels/document.xml.rels"] = f'{_HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{relation}</Relationships>'
+        parts["word/comments.xml"] = f'{_HEAD}<w:comments xmlns:w="{_WP}">{comments}</w:comments>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("word/document.xml", doc)):
-            z.writestr(name, data)
+        for name, data in parts.items():
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
     return out.getvalue()
+
+
+def write_docx(text: str, pieces: list[tuple[int, int, str]] | None = None, comments: list[tuple[int, int, str]] | None = None) -> bytes:
+    """A Word file of ``text``; ``pieces`` (start, end, colour) are highlighted, ``comments`` (start, end, comment) stand beside.
+
+    Where pieces overlap the one that starts first has the colour.
+    """
+    from xml.sax.saxutils import escape
+
+    colours, notes = sorted(pieces or []), sorted(comments or [])
+    # The text changes its looks only at these places; a line is the runs between them.
+    edges = sorted({0, len(text), *(x for a, b, _ in (*colours, *notes) for x in (a, b))} | {m.start() for m in re.finditer("\n", text)} | {m.end() for m in re.finditer("\n", text)})
+    begins = {a: [i for i, n in enumerate(notes) if n[0] == a] for a, _, _ in notes}
+    ends = {b: [i for i, n in enumerate(notes) if n[1] == b] for _, b, _ in notes}
+    lines: list[list[str]] = [[]]
+    for at, to in zip(edges, [*edges[1:], len(text)]):
+        lines[-1] += [f'<w:commentRangeEnd w:id="{i}"/><w:r><w:commentReference w:id="{i}"/></w:r>' for i in ends.get(at, []) if notes[i][0] < at]
+        lines[-1] += [f'<w:commentRangeStart w:id="{i}"/>' for i in begins.get(at, []) if notes[i][1] > at]
+        run = text[at:to]
+        if run == "\n":
+            lines.append([])
+        elif run:
+            colour = next((c for a, b, c in colours if a <= at < b), None)
+            look = f'<w:rPr><w:highlight w:val="{colour}"/></w:rPr>' if colour else ""
+            lines[-1].append(f'<w:r>{look}<w:t xml:space="preserve">{escape(run)}</w:t></w:r>')
+    beside = "".join(f'<w:comment w:id="{i}" w:author="codeloom"><w:p><w:r><w:t xml:space="preserve">{escape(c)}</w:t></w:r></w:p></w:comment>' for i, (a, b, c) in enumerate(notes) if a < b)
+    return package("".join(f"<w:p>{''.join(x)}</w:p>" for x in lines), beside)
+
+
+def strip_tags(text: str) -> tuple[str, list[tuple[int, int, list[str]]]]:
+    """A text without its bracket tags, and (start, end, codes) of the sentence or line each stood behind, in the text without tags."""
+    plain, marks, at = "", [], 0
+    for where, codes in inline_tags(text):
+        plain += text[at:where].rstrip(" ") if text[where - 1 : where] == " " else text[at:where]
+        end = len(plain.rstrip())
+        start = max(plain.rfind("\n", 0, end) + 1, max((m.end() for m in re.finditer(r"[.!?。！？]+[\s”’」』\"]*", plain[: max(end - 1, 0)])), default=0))
+        marks.append((min(start, end), end, codes))
+        at = INLINE.match(text, where).end()
+    return plain + text[at:], marks
