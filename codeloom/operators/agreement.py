@@ -56,6 +56,19 @@ def pooled(aligned: DataFrame, codes: list[str] | Column, keys: Sequence[str] =
     return binary_agreement(unit_codes(aligned, codes, keys), list(keys))
 
 
+def pooled_alpha(aligned: DataFrame, codes: list[str] | Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Krippendorff's alpha (nominal, two coders) over all unit x code cells, per ``keys``: (keys, pairable, alpha).
+
+    From the four counts alone: with two ratings a cell, n the ratings and n1 those that
+    say yes, alpha = 1 - (n - 1) * disagreements / (n1 * (n - n1)). Null where all ratings are equal.
+    """
+    counts = pooled(aligned, codes, keys)
+    n, yes = 2.0 * F.col("n"), 2.0 * F.col("both_yes") + F.col("only_a") + F.col("only_b")
+    expected = yes * (n - yes)
+    alpha = 1 - F.try_divide((n - 1) * (F.col("only_a") + F.col("only_b")), F.when(expected > 0, expected))
+    return counts.select(*keys, (2 * F.col("n")).alias("pairable"), alpha.alias("alpha"))
+
+
 def exact_set(aligned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Share of units with the same code set."""
     return aligned.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((sorted_set(F.col("codes_a")) == sorted_set(F.col("codes_b"))).cast("double")).alias("exact"))

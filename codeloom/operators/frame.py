@@ -69,6 +69,19 @@ def unmatched(quotes: DataFrame, units: DataFrame, key: str = "respondent") -> D
     return quotes.join(locate_quotes(quotes, units, key).select("quote_id").distinct(), "quote_id", "left_anti")
 
 
+def frame_diagnostics(quotes: DataFrame, units: DataFrame, key: str = "respondent") -> DataFrame:
+    """(respondent, quotes, framed, on_excluded, unmatched): where the quotes of every respondent lie.
+
+    framed: in a unit of a respondent; on_excluded: only in units left out of the frame
+    (interviewers, headers); unmatched: in none.
+    """
+    found = locate_quotes(quotes, units, key).join(units.select("unit_id", (F.col("role") == "respondent").alias("inside")).distinct(), "unit_id")
+    where = found.groupBy("quote_id").agg(F.max("inside").alias("inside"))
+    flag = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    return quotes.select(key, "quote_id").join(where, "quote_id", "left").groupBy(key).agg(
+        F.count("*").alias("quotes"), flag(F.col("inside")).alias("framed"), flag(~F.col("inside")).alias("on_excluded"), F.sum(F.col("inside").isNull().cast("int")).alias("unmatched"))
+
+
 def coding_sheet(frame: DataFrame, codes: list[str]) -> DataFrame:
     """Blind sheet: unit, text and one empty column per code; what the model said is left out."""
     return frame.select("unit_id", "text", *[F.lit("").alias(c) for c in codes], F.lit("").alias("comment"))

@@ -56,6 +56,16 @@ def is_stop(term: Column) -> Column:
     return F.lower(term).isin(STOP_EN)
 
 
+def clean_cjk(text: Column) -> Column:
+    """Text in which everything but Han characters is an ideographic blank."""
+    return F.regexp_replace(text, r"[^\x{4e00}-\x{9fff}]", "　")
+
+
+def clauses(text: Column) -> Column:
+    """Clauses of a text, trimmed, without empty ones; null gives an empty list."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), CLAUSE), lambda c: F.trim(c)), lambda c: c != "")
+
+
 def is_fragment_zh(term: Column) -> Column:
     """Han strings that are a function word, or a piece cut at the wrong place: a bound first or last character, or a function word stuck to more."""
     some = "|".join(map(re.escape, FUNCTION_ZH))
@@ -137,6 +147,27 @@ def discover_terms_cjk(texts: DataFrame, text: str = "text", most: int = 6, leas
     return out if top is None else out.orderBy(F.desc("score"), "term").limit(top)
 
 
+def with_doc_freq(induced: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Adds ``doc_freq``: documents (``doc_id`` of the tokens) of the code that hold the term."""
+    seen = tokens.filter("doc_id is not null").select("code", "term", "doc_id").distinct().groupBy("code", "term").agg(F.count("*").alias("doc_freq"))
+    return induced.join(seen, ["code", "term"], "left").fillna(0, ["doc_freq"])
+
+
+def lexicon_mismatch(terms: DataFrame, frameworks: DataFrame, framework_id: str) -> DataFrame:
+    """(dimension, terms): dimensions of a lexicon that the framework does not have."""
+    own = frameworks.filter(F.col("framework_id") == framework_id).select("dimension")
+    return terms.join(own, "dimension", "left_anti").groupBy("dimension").agg(F.count("*").alias("terms"))
+
+
+def literature_terms(terms: DataFrame, works: DataFrame, least: int = 1) -> DataFrame:
+    """Terms that at least ``least`` works' titles or abstracts mention, with how many: (term, works). The terms are a lexicon's."""
+    hay = works.select("work_id", F.lower(F.concat_ws(" ", "title", "abstract")).alias("hay"))
+    words = hay.select("work_id", "hay", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
+    # A term is looked for only where its first word occurs.
+    t = terms.select("term").filter("trim(term) <> ''").distinct().withColumn("w", F.regexp_extract(F.lower("term"), r"[\p{L}\p{N}]+", 0))
+    return words.join(t, "w").filter(F.contains("hay", F.lower("term"))).groupBy("term").agg(F.countDistinct("work_id").alias("works")).filter(F.col("works") >= least)
+
+
 def log_odds(tokens: DataFrame, least: int = 3, top: int | None = 30, prior: float | None = None) -> DataFrame:
     """Log-odds with an informative Dirichlet prior: (code, term, z, log_odds, count_in, count_out).
 
@@ -335,7 +366,7 @@ def audit_llm(rows: DataFrame, coder: DictionaryCoder | dict[str, DictionaryCode
 
 def vocabulary(lexicon_terms: DataFrame, discovered: DataFrame) -> DataFrame:
     """(term, source): the lexicon's terms and those discovered; a term of both is the lexicon's."""
-    a = lexicon_terms.select("term").distinct().withColumn("source", F.lit("lexicon"))
+    a = lexicon_terms.select("term").filter("term is not null").distinct().withColumn("source", F.lit("lexicon"))
     return a.unionByName(discovered.select("term").distinct().join(a.select("term"), "term", "left_anti").withColumn("source", F.lit("discovered")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.distributed import running
+
 WORK = (
     "id string, doi string, title string, publication_year int, cited_by_count int, type string, "
     "abstract_inverted_index map<string,array<int>>, authorships array<struct<author:struct<display_name:string>>>, primary_location struct<source:struct<display_name:string>>"
@@ -36,11 +38,18 @@ def citation(authors: Column, year: Column) -> Column:
     return F.concat(who, F.lit(" ("), F.coalesce(year.cast("string"), F.lit("n.d.")), F.lit(")"))
 
 
+def suggest_topics(topics: DataFrame, n: int = 8) -> DataFrame:
+    """(id, name, description, works_count, field) of the first ``n`` answers of a topic search (``rank``, raw JSON as ``raw``): a report of what a theory's name may mean."""
+    get = lambda p: F.get_json_object("raw", p)
+    return topics.orderBy("rank").limit(n).select(
+        F.element_at(F.split(F.coalesce(get("$.id"), F.lit("")), "/"), -1).alias("id"), F.coalesce(get("$.display_name"), F.lit("")).alias("name"), F.coalesce(get("$.description"), F.lit("")).alias("description"),
+        F.coalesce(get("$.works_count").cast("bigint"), F.lit(0)).alias("works_count"), F.coalesce(get("$.field.display_name"), F.lit("")).alias("field"))
+
+
 def evidence(works: DataFrame, most: int = 1100) -> DataFrame:
     """Works tagged W1.. in order of ``rank``, abstracts cut at a word."""
-    n = F.row_number().over(Window.orderBy("rank", "work_id"))
     cut = F.when(F.length("abstract") <= most, F.col("abstract")).otherwise(F.concat(F.regexp_replace(F.substring("abstract", 1, most), r"\s+\S*$", ""), F.lit("…")))
-    return works.withColumn("tag", F.concat(F.lit("W"), n)).withColumn("excerpt", cut)
+    return running(works, ["rank", "work_id"], number="__no").withColumn("tag", F.concat(F.lit("W"), "__no")).drop("__no").withColumn("excerpt", cut)
 
 
 def union_passes(passes: DataFrame) -> DataFrame:

@@ -30,6 +30,18 @@ def segments_of(records: DataFrame, lists: tuple[str, ...] = ("segments",)) -> D
     return out
 
 
+def segment_text(segment: Column) -> Column:
+    """Text of a segment: full_text, or the quote where that is null or blank."""
+    return F.coalesce(F.when(F.trim(segment["full_text"]) != "", segment["full_text"]), segment["quote"])
+
+
+def menu_labels(records: DataFrame) -> DataFrame:
+    """(record_id, label): the respondent, with the file where several records share the name."""
+    w = Window.partitionBy("respondent")
+    name = F.coalesce("respondent", F.lit("unknown"))
+    return records.select("record_id", F.when(F.count("*").over(w) > 1, F.concat(name, F.lit(" ("), F.coalesce("transcript_file", F.col("record_id").cast("string")), F.lit(")"))).otherwise(name).alias("label"))
+
+
 def code_rows(records: DataFrame, frameworks: DataFrame, lists: tuple[str, ...] = ("segments",)) -> DataFrame:
     """Every code entry with its clean dimension and polarity, null where it names none."""
     rows = framework_rows(frameworks)

@@ -26,6 +26,16 @@ def save_records(records: DataFrame, path: str) -> None:
     records.withColumn("framework", F.coalesce("_meta.framework_id", F.lit("none"))).write.mode("errorifexists").partitionBy("framework").json(path)
 
 
+def with_meta(records: DataFrame, **values: str) -> DataFrame:
+    """Records with fields of ``_meta`` set; its other fields stay, a null ``_meta`` gets these alone."""
+    have = {f.name for f in records.schema["_meta"].dataType.fields}
+    unknown = set(values) - have
+    if unknown:
+        raise ValueError(f"_meta has no {sorted(unknown)}")
+    fields = [(F.lit(values[n]).cast(f.dataType) if n in values else F.col(f"_meta.{n}")).alias(n) for f in records.schema["_meta"].dataType.fields for n in (f.name,)]
+    return records.withColumn("_meta", F.struct(*fields))
+
+
 def fork(records: DataFrame, new_base: int) -> DataFrame:
     """Copies of reference records under new ids that name their origin."""
     return records.withColumn("derived_from", F.col("record_id")).withColumn("record_id", F.col("record_id") + F.lit(new_base))

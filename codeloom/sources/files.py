@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.framework import Framework
+from codeloom.operators.migrate import migrate_records
 from codeloom.sources.nested import link_nodes, node_table, payload_status, segment_table
 
 
@@ -33,6 +35,16 @@ def read_codebooks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CODEBOOK).option("multiLine", True).json(path).select("*", F.col("_metadata.file_modification_time").alias("modified")).filter("codebook_id is not null")
 
 
+def save_codebooks(codebooks: DataFrame, path: str) -> None:
+    """Codebooks as JSON lines of the shape that :func:`read_codebooks` reads; an existing folder is not overwritten."""
+    codebooks.write.mode("errorifexists").json(path)
+
+
+def scan_records(spark: SparkSession, path: str, fw: Framework) -> DataFrame:
+    """Every JSON file of a folder, migrated: path, record, dropped, mismatch, error. Damaged files keep their row."""
+    return migrate_records(read_payloads(spark, path), fw).drop("payload")
+
+
 def newest_codebook(codebooks: DataFrame) -> DataFrame:
     """The codebook saved last (ties: greatest id)."""
     best = codebooks.agg(F.max_by("codebook_id", F.struct("modified", "codebook_id")).alias("codebook_id"))
