@@ -667,9 +667,9 @@ def merged_codebook(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def code_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Average-linkage clusters of every codebook's labels by bigram distance."""
+    """Average-linkage clusters of every codebook's labels by bigram distance; pairs without a common bigram are at distance 1."""
     codes = _t(spark, d, "codebooks").select("codebook_id", F.explode("codes").alias("c")).select("codebook_id", F.col("c.label").alias("code"), F.coalesce("c.count", F.lit(0)).alias("weight")).filter("code is not null")
-    dist = openbook.dice_pairs(codes.select("codebook_id", F.col("code").alias("label")), ["codebook_id"], least=0.05).select("codebook_id", F.col("label_a").alias("code_a"), F.col("label_b").alias("code_b"), (1 - F.col("dice")).alias("distance"))
+    dist = openbook.dice_pairs(codes.select("codebook_id", F.col("code").alias("label")), ["codebook_id"], least=1e-9).select("codebook_id", F.col("label_a").alias("code_a"), F.col("label_b").alias("code_b"), (1 - F.col("dice")).alias("distance"))
     return themes.cluster_codes(codes, dist, "codebook_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,29 +13,51 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from codeloom.operators.review import fold
 
 _OUT = "record_id bigint, segment_id string, status string, codes array<string>, alive boolean, events bigint, updated timestamp"
-_STATE = "status string, source string, codes array<string>, text string, original_codes array<string>, original_text string, alive boolean, before string, events bigint, updated timestamp"
-_FIELDS = ("status", "source", "codes", "text", "original_codes", "original_text", "alive", "before", "events")
+_STATE = "state string, pending string, updated bigint"
+_TIME = "time"
 
 
-def live_state(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Streaming state per (record_id, segment_id). An event older than the newest one applied changes nothing."""
+def _text(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False, default=lambda x: x.tolist() if hasattr(x, "tolist") else str(x))
+
+
+def live_state(events: DataFrame, watermark: str = "1 hour", keep_hours: float = 24.0) -> DataFrame:
+    """Streaming state per (record_id, segment_id), a row per change.
+
+    Events that arrive out of order inside the watermark are applied in the order of their
+    time: those the watermark has not passed yet wait in the state and are replayed on top
+    of it for the result. Later ones are dropped. The state of a segment is given up when the
+    watermark is ``keep_hours`` beyond its last event; an event after that starts anew.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, updated = None, None
-        if state.exists:
-            values = state.get
-            current, updated = dict(zip(_FIELDS, values[: len(_FIELDS)])), values[len(_FIELDS)]
-            for k in ("codes", "original_codes"):
-                current[k] = list(current[k]) if current[k] is not None else None
-        for e in pd.concat(list(frames)).sort_values(["time", "seq"], kind="stable").to_dict("records"):
-            if updated is not None and e["time"] < updated:
-                continue
-            current, updated = fold(current, e), e["time"]
-        if current is not None:
-            state.update((*(current[k] for k in _FIELDS), updated))
-            yield pd.DataFrame([{"record_id": key[0], "segment_id": key[1], "status": current["status"], "codes": current["codes"], "alive": current["alive"], "events": current["events"], "updated": updated}])
-
-    return events.withWatermark("time", watermark).groupBy("record_id", "segment_id").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+        held, pending, updated = state.get if state.exists else ("null", "[]", 0)
+        current, waiting = json.loads(held), json.loads(pending)
+        passed = state.getCurrentWatermarkMs()
+        for pdf in () if state.hasTimedOut else frames:
+            for e in pdf.to_dict("records"):
+                at = int(e[_TIME].timestamp() * 1000)
+                if at >= passed:
+                    waiting.append(json.loads(_text({**{k: v for k, v in e.items() if k != _TIME}, "at": at})))
+        waiting.sort(key=lambda e: (e["at"], e.get("seq") or 0))
+        final = [e for e in waiting if e["at"] < passed]
+        waiting = waiting[len(final) :]
+        for e in final:
+            current, updated = fold(current, e), e["at"]
+        last = waiting[-1]["at"] if waiting else updated
+        end = last + int(keep_hours * 3_600_000)
+        if state.hasTimedOut and not waiting and passed >= end:
+            state.remove()
+            return
+        state.update((_text(current), _text(waiting), updated))
+        state.setTimeoutTimestamp(max(passed + 1, waiting[0]["at"] + 1 if waiting else end))
+        shown = current
+        for e in waiting:
+            shown = fold(shown, e)
+        if shown is not None and not state.hasTimedOut:
+            yield pd.DataFrame([{"record_id": key[0], "segment_id": key[1], "status": shown["status"], "codes": shown["codes"], "alive": shown["alive"], "events": shown["events"], "updated": pd.Timestamp(last, unit="ms")}])
+
+    return events.withWatermark(_TIME, watermark).groupBy("record_id", "segment_id").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def action_counts(events: DataFrame, width: str = "1 hour", watermark: str = "1 hour") -> DataFrame:

@@ -426,3 +426,21 @@ def test_contained_is_exact(spark, inner, outer):
     o = spark.createDataFrame([(k, n, t) for n, (k, t) in enumerate(outer)], "k string, o int, t string")
     want = {(n, m) for n, (k, t) in enumerate(inner) for m, (j, s) in enumerate(outer) if k == j and len(t) >= frame.LEAST and t in s}
     assert {(r.i, r.o) for r in frame.contained(i, o, "k").collect()} == want
+
+
+def test_stream_out_of_order(spark, tmp_path):
+    """A late event inside the watermark is applied in its place; one beyond it is not."""
+    from codeloom.streaming.review import live_state
+
+    def at(h, seq, action, codes=None):
+        return (1, "S", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), seq, action, codes, "t", "r")
+
+    batches = [[at(0, 0, "create", ["A"])], [at(2.0, 1, "update_codes", ["B"])], [at(1.5, 2, "update_codes", ["C"])], [at(9, 3, "confirm")], [at(0.5, 4, "update_codes", ["D"])], [at(9.1, 5, "confirm")]]
+    src = tmp_path / "in"
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, review.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(review.EVENT_SCHEMA).parquet(str(src))
+        q = live_state(stream).writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    last = spark.read.parquet(str(tmp_path / "out")).orderBy(F.desc("updated"), F.desc("events")).first()
+    assert (last.codes, last.status) == (["B"], "modified") and last.events == 5
