@@ -38,12 +38,13 @@ NOTHING = ""
 
 @dataclass(frozen=True)
 class Consensus:
-    """``labels`` (unit_id, label, support), ``annotators`` (coder, n, accuracy, weight), ``rounds``."""
+    """``labels`` (unit_id, label, support), ``annotators`` (coder, n, accuracy, weight), ``rounds``, and whether the weights had settled."""
 
     labels: DataFrame
     annotators: DataFrame
     judgements: DataFrame
     rounds: int
+    stable: bool
 
 
 def latest_judgements(rows: DataFrame) -> DataFrame:
@@ -84,17 +85,18 @@ def _hits(judgements: DataFrame, weights: DataFrame) -> DataFrame:
 
 def reach_consensus(
     rows: DataFrame, min_annotators: int = 3, classes: int = 6, smoothing: float = 4.0, max_weight: float = 4.0,
-    share: float = 0.5, max_rounds: int = 6, tolerance: float = 0.2,
+    share: float = 0.5, max_rounds: int = 25, tolerance: float = 0.02,
 ) -> Consensus:
     """Consensus of (unit_id, coder, labels, coded_at, received_at).
 
     ``classes`` is K of the weight, ``share`` the weighted share from which a unit gets a
-    label besides its best one. Labels of the form ``a SEP b`` are decided in two steps: a
+    label besides its best one. The rounds end when the weights move by less than
+    ``tolerance`` on average, or after ``max_rounds``, which the result then says. Labels of the form ``a SEP b`` are decided in two steps: a
     by the votes for any of its labels, then b among them.
     """
     judgements = materialise(latest_judgements(rows), "judgements")
     weights = judgements.select("coder").distinct().withColumn("weight", F.lit(1.0))
-    annotators, rounds = None, 0
+    annotators, rounds, stable = None, 0, False
     weights = materialise(weights, "weights")
     for rounds in range(1, max_rounds + 1):
         weights = small(weights)
@@ -107,10 +109,11 @@ def reach_consensus(
             .select("coder", F.coalesce("n", F.lit(0)).alias("n"), accuracy.alias("accuracy"), weight.alias("weight"), "was"), "annotators")
         moved = annotators.agg(F.avg(F.abs(F.col("weight") - F.col("was"))).alias("d")).first().d
         weights = annotators.select("coder", "weight")
-        if moved is None or moved < tolerance * 0.1:
+        stable = moved is None or moved < tolerance
+        if stable:
             break
     labels = decide(judgements, small(weights), min_annotators, share)
-    return Consensus(labels, annotators.drop("was"), judgements, rounds)
+    return Consensus(labels, annotators.drop("was"), judgements, rounds, stable)
 
 
 def decide(judgements: DataFrame, weights: DataFrame, min_annotators: int, share: float) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LIMITS = 1_000
+#: Attention capacity as a share of the square of the token capacity. Below 1 it binds: a container's squared lengths cannot sum up to what its tokens would allow.
+ATTENTION = 0.8
 
 
 def pack_block(sizes: np.ndarray, capacity: int, max_items: int, max_cost: float, weights: tuple[float, float, float] = (1.0, 0.05, 0.2), rule: str = "norm") -> np.ndarray:
@@ -67,16 +69,16 @@ def pack_block(sizes: np.ndarray, capacity: int, max_items: int, max_cost: float
 
 
 def pack(
-    sizes: DataFrame, limits: DataFrame, key: str = "doc_id", size: str = "n_tokens", max_items: int = 64, cost_factor: float = 1.0,
+    sizes: DataFrame, limits: DataFrame, key: str = "doc_id", size: str = "n_tokens", max_items: int = 64, cost_factor: float = ATTENTION,
     weights: tuple[float, float, float] = (1.0, 0.05, 0.2), rule: str = "norm", block: int = 4_000, groups: int | None = None,
 ) -> DataFrame:
     """(limit_id, container_id, key, part_pos, start_token, n_tokens) for each limit.
 
     ``limits`` has limit_id and capacity_tokens (at most MAX_LIMITS rows are accepted; they
     are configuration); capacities that are null or not positive are skipped. The attention
-    capacity is cost_factor * capacity**2: at 1 it excludes nothing that the token capacity
-    allows and only weighs in the choice; below 1 it also keeps long items apart, and an
-    item that alone exceeds it gets a container of its own. ``groups`` defaults to one per ``block`` items.
+    capacity is cost_factor * capacity**2: at 1 it would exclude nothing that the token
+    capacity allows; below 1 it keeps long items apart, and an item that alone exceeds it
+    gets a container of its own. ``groups`` defaults to one per ``block`` items.
     """
     caps = [(int(r.limit_id), int(r.capacity_tokens)) for r in limits.filter("limit_id is not null and capacity_tokens > 0").select("limit_id", "capacity_tokens").distinct().limit(MAX_LIMITS + 1).collect()]
     if len(caps) > MAX_LIMITS:
@@ -138,10 +140,11 @@ def pack(
 
 
 def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
-    """Per limit: containers, items, tokens, and the share of the capacity that is used."""
-    bins = packed.groupBy("limit_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"))
+    """Per limit: containers, items, tokens, the share of the capacity that is used, and the greatest attention cost as a share of the squared capacity among containers of several pieces."""
+    bins = packed.groupBy("limit_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("c"))
     return (
-        bins.groupBy("limit_id").agg(F.count("*").alias("containers"), F.sum("k").alias("pieces"), F.sum("t").alias("tokens"))
+        bins.groupBy("limit_id").agg(F.count("*").alias("containers"), F.sum("k").alias("pieces"), F.sum("t").alias("tokens"), F.max(F.when(F.col("k") > 1, F.col("c"))).alias("c"))
         .join(limits.select("limit_id", "capacity_tokens").distinct(), "limit_id")
-        .select("limit_id", "capacity_tokens", "containers", "pieces", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+        .select("limit_id", "capacity_tokens", "containers", "pieces", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"),
+                (F.col("c") / (F.col("capacity_tokens").cast("double") * F.col("capacity_tokens"))).alias("most_attention"))
     )

@@ -49,3 +49,15 @@ def test_one_key_many_rows(spark):
     df = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit(10).alias("n_tokens"))
     p = pack(df, spark.createDataFrame([(1, 100)], "limit_id int, capacity_tokens int"), block=1000)
     assert p.count() == 5000 and p.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.max("t")).first()[0] == 100
+
+
+def test_attention_binds(spark):
+    """No container of several items exceeds the attention capacity, and some would without it."""
+    import numpy as np
+
+    sizes = np.random.default_rng(3).integers(1, 1000, 4000)
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "doc_id long, n_tokens long")
+    limits = spark.createDataFrame([(1, 1000)], "limit_id int, capacity_tokens int")
+    report = lambda **k: fill_report(pack(df, limits, **k), limits).first()
+    bound, free = report(), report(cost_factor=1.0)
+    assert bound.most_attention <= 0.8 < free.most_attention and bound.fill > 0.95 * free.fill
