@@ -119,6 +119,11 @@ ADDRESSES = [
 ]
 #: A place or street never goes on in the next line.
 _ADDRESSES = [(score, regex.compile(p.pattern.replace(r"\s", r"[^\S\n]"), p.flags)) for score, p in ADDRESSES]
+#: What some of them cannot do without.
+_NEEDED_ADDRESSES = [
+    (score, p, re.compile(needs) if needs else None)
+    for (score, p), needs in zip(_ADDRESSES, ("", r"(?i)\b(?:ro?a?d|stre?e?t?|av|la?ne?|clo|co?u?r?t|row|step|dri|way|pla?c?e?|squ?|ter|cre|bou|blv|gar|gro|mew|wal|par|qua|yar|all|gre|vie|ris|emb|wha|gat)", "Box|Postfach|Apartado|B.?P", "", "rue|av|bo?u?l?e?v?a?r?d|place|quai|chemin|all|impasse|route|cours|passage|square|ruelle|sentier", "C/|[CAPRTGV]", "[路街道]", "[町村区丁目]"))
+]
 ADDRESS_WORDS = regex.compile(r"(?i)\b(?:live[sd]?|living|flat at|address|letter|moved|home|house|write to|anschrift|adresse|wohn\p{L}*|habit\p{L}*|viv\p{L}*|dirección|domicili\p{L}*)\b|住|寄|地址|住所")
 
 _W = r"\p{L}[\p{L}'’]*"
@@ -159,7 +164,7 @@ CUES: list[Cue] = [
     *_cue(3.5, "sk for", r"\b(?i:ask\sfor)\s", r"(?=\s\((?:zero|one|two|three|four|five|six|seven|eight|nine)\b)", "at"),
     *_cue(3.5, "belong", r"\bbelong(?:s|ed)\sto\s", r"(?=[.!?]?(?:\s|$))", "and"),
     *_cue(3.5, " list", r"\b(?i:keep|kept|have|put)\s", r"(?=\son\s(?:the|their|our)\slist\b)", "on"),
-    *_cue(3.5, " me| us", r"(?:^|[.!?:…”\"»)\]]\s+|\n\s*|　|(?<=\p{Ll}{2}[.!?]))", r"(?=\s(?:told|asked|warned|showed|reminded)\s(?:me|us)\b)", "told|asked|warned|showed|reminded"),
+    *_cue(3.5, " told | asked | warned | showed | reminded ", r"(?:^|[.!?:…”\"»)\]]\s+|\n\s*|　|(?<=\p{Ll}{2}[.!?]))", r"(?=\s(?:told|asked|warned|showed|reminded)\s(?:me|us)\b)", "told|asked|warned|showed|reminded"),
     *_cue(3.5, " about", rf"\b(?:spoke|talked|wrote)\s(?:to|with)\s(?:{TITLE}\.?\s)?", r"(?=\sabout\b)", "about"),
     *_cue(3.5, "Dr|Mr|Ms|Mx|Miss|Prof|Sr|Mme|Mlle|Madame|Monsieur|Frau|Herr|Hr|Cllr|Do|Se", rf"\b{TITLE}\.?\s", r"(?=\s(?:from|of)\s(?:the|our)\b)", "from|of"),
     *_cue(3.5, "habl", r"\bhabl(?:ó|aron)\scon\s(?:(?:la|el)\s)?(?:(?:Sra|Sr)\.\s)?", r"(?=\ssobre\b)", "sobre"),
@@ -228,6 +233,8 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
 #: A sign for "at" in brackets, or a word for the dot of a spelled-out address.
 _SPELLED_OUT = re.compile(r"[\[(]\s?(?:at|arroba|arobase|ät)\b|\s(?:dot|punto|point|punkt)\s", re.I)
 _ANY_DIGIT = re.compile(r"\d")
+#: Runs of digits and their separators that the shapes of phone and identity numbers have at least.
+_DIGITS_4, _DIGITS_6 = re.compile(r"\d[\d\s.\-/]{3}"), re.compile(r"\d[\d\s\-/]{5}")
 
 
 def _emails(t: str) -> Iterator[tuple[int, int, str, float]]:
@@ -238,7 +245,7 @@ def _emails(t: str) -> Iterator[tuple[int, int, str, float]]:
 
 
 def _phones(t: str) -> Iterator[tuple[int, int, str, float]]:
-    for m in PHONE.finditer(t) if _ANY_DIGIT.search(t) else ():
+    for m in PHONE.finditer(t) if _DIGITS_4.search(t) else ():
         s = m.group()
         if len(s) < 7:
             continue
@@ -279,7 +286,7 @@ _ID_BASE = {"nino": 2.5, "ssn": 1.5, "slash": 1.5, "tw": 1.5, "pass": 0.5, "iban
 
 
 def _ids(t: str) -> Iterator[tuple[int, int, str, float]]:
-    for m in IDNUM.finditer(t) if _ANY_DIGIT.search(t) else ():
+    for m in IDNUM.finditer(t) if _DIGITS_6.search(t) else ():
         kind, s = m.lastgroup, m.group()
         score = _ID_BASE[kind]
         bare = regex.sub(r"[\s\-]", "", s)
@@ -301,8 +308,8 @@ def _addresses(t: str) -> Iterator[tuple[int, int, str, float]]:
     if not _ANY_DIGIT.search(t):
         return
     # The last two are for scripts without blanks.
-    for score, p in _ADDRESSES[:-2] if t.isascii() else _ADDRESSES:
-        for m in p.finditer(t):
+    for score, p, needs in _NEEDED_ADDRESSES[:-2] if t.isascii() else _NEEDED_ADDRESSES:
+        for m in p.finditer(t) if needs is None or needs.search(t) else ():
             a, b = m.span()
             han = regex.match(r"\p{Han}", t[a])
             if han:
