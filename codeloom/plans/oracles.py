@@ -41,6 +41,19 @@ LONG = f"""WITH {CODES},
   count(*) OVER (PARTITION BY v.record_id, v.seg_pos) AS codes_in_segment, coalesce(v.s.review.status, 'pending') AS status, coalesce(v.s.review.source, 'ai') AS source, v.endpoint
   FROM valid v JOIN shorts h ON h.framework_id = v.framework_id AND h.dimension = v.dimension)"""
 
+_CLEAN = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[\\s\\x{{3000}}\\x{{a0}}]+', ' ', 'g'), "
+    "'(?i)^(\\s*(\\[\\s*\\d+\\s*[x×]\\s*\\]|\\[\\s*new( code)?\\s*\\]|【[^】]*】|new( code)?\\s*[:：]|[-*•#>]+ ))+', ''), '\\s[—–-]+\\s.*$', ''), '——.*$', ''), "
+    "'^[\\s\"''“”‘’«»「『*_`]+|[\\s\"''“”‘’«»」』*_`.。．!！?？;；:：,，、…]+$', '', 'g')"
+)
+#: Codebooks replayed from the labels of the records: book(codebook_id, code_no, code_id, label, count, first_record).
+_BOOK = f"""WITH {OPEN}, s AS (SELECT record_id, _meta.codebook_id AS codebook_id, saved_at, i - 1 AS seg_pos, open_segments[i] AS s FROM orec, unnest(range(1, coalesce(len(open_segments), 0) + 1)) t(i) WHERE open_segments[i] IS NOT NULL),
+ c AS (SELECT record_id, codebook_id, saved_at, seg_pos, j - 1 AS code_pos, s.open_codes[j] AS c FROM s, unnest(range(1, coalesce(len(s.open_codes), 0) + 1)) t(j) WHERE s.open_codes[j] IS NOT NULL),
+ k AS (SELECT record_id, codebook_id, saved_at, seg_pos, code_pos, {_CLEAN.format("c.label")} AS clean FROM c),
+ r AS (SELECT *, row_number() OVER (PARTITION BY codebook_id, lower(clean) ORDER BY saved_at NULLS FIRST, record_id NULLS FIRST, seg_pos, code_pos) AS rn, count(*) OVER (PARTITION BY codebook_id, lower(clean)) AS n FROM k WHERE clean <> ''),
+ o AS (SELECT codebook_id, clean AS label, n AS "count", record_id AS first_record, CAST(row_number() OVER (PARTITION BY codebook_id ORDER BY saved_at NULLS FIRST, record_id NULLS FIRST, seg_pos, code_pos) AS INTEGER) AS code_no FROM r WHERE rn = 1),
+ book AS (SELECT codebook_id, code_no, printf('c%03d', code_no) AS code_id, label, "count", first_record FROM o)"""
+
 #: Written out apart from functions/text.py, for comparison.
 _ABSENT = (
     "(?i)\\b(does|did|do)\\s*n[o'']t\\s+(show|demonstrate|exhibit|display|reflect|indicate|reveal|evidence|mention|articulate)\\b|"
@@ -219,6 +232,15 @@ SQL: dict[str, str] = {
  g AS (SELECT ni.code, bg.term, coalesce(ct.k, 0)::DOUBLE AS yi, (bg.total - coalesce(ct.k, 0))::DOUBLE AS yj, ni, big, big * (total / big) AS al FROM bg CROSS JOIN ni CROSS JOIN big LEFT JOIN ct ON ct.code = ni.code AND ct.term = bg.term),
  h AS (SELECT *, yi + al AS xi, ni + big - yi - al AS ui, yj + al AS xj, (big - ni) + big - yj - al AS uj FROM g), z AS (SELECT *, ln(xi / ui) - ln(xj / uj) AS delta FROM h WHERE least(xi, ui, xj, uj) > 0)
  SELECT code, term, round(delta / sqrt(1 / xi + 1 / xj), 6) AS z, round(delta, 6) AS log_odds, CAST(yi AS BIGINT) AS count_in, CAST(yj AS BIGINT) AS count_out FROM z WHERE NOT list_contains({_stops()}, term)""",
+    "absorbed_codes": f"{_BOOK} SELECT * FROM book",
+    "frequent_codes": f'{_BOOK} SELECT codebook_id, code_id, label, "count" FROM book WHERE "count" >= 2',
+    "prompt_codes": f"""{_BOOK}, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY codebook_id ORDER BY "count" DESC, code_no) AS INTEGER) AS rank FROM book) SELECT * FROM ranked WHERE rank <= 60""",
+    "codebook_framework": f"""{_BOOK} SELECT codebook_id AS framework_id, code_no - 1 AS dim_ord, regexp_replace(lower(label), '[^\\p{{L}}\\p{{N}}]+', '_', 'g') AS dimension, upper(code_id) AS short_code, label AS label_en FROM book""",
+    "pooled_alpha_all": f"""{_ALL}, t AS (SELECT framework_id, coder, {_COUNTS} FROM cells GROUP BY 1, 2), y AS (SELECT *, 2 * both_yes + only_a + only_b AS yes FROM t)
+ SELECT framework_id, coder, 2 * n AS pairable, round(1 - (2 * n - 1)::DOUBLE * (only_a + only_b) / nullif(yes::DOUBLE * (2 * n - yes), 0), 9) AS alpha FROM y""",
+    "menu_labels": f"""WITH {RECORDS} SELECT record_id, CASE WHEN count(*) OVER (PARTITION BY respondent) > 1 THEN coalesce(respondent, 'unknown') || ' (' || coalesce(transcript_file, record_id::VARCHAR) || ')' ELSE coalesce(respondent, 'unknown') END AS label FROM rec""",
+    "segment_texts": f"""WITH {RECORDS}, {SEGMENTS}, t AS (SELECT CASE WHEN trim(s.full_text) <> '' THEN s.full_text ELSE s.quote END AS t, s.full_text AS f FROM seg)
+ SELECT CASE WHEN t IS NULL THEN 'none' WHEN trim(f) <> '' THEN 'full' ELSE 'quote' END AS kind, count(*) AS n, CAST(coalesce(sum(length(t)), 0) AS BIGINT) AS chars FROM t GROUP BY 1""",
     "codebook_stats": """WITH c AS (SELECT codebook_id, unnest(codes) AS c FROM codebooks) SELECT codebook_id, count(c.label) AS codes, CAST(coalesce(sum(c.count), 0) AS BIGINT) AS applications, count(*) FILTER (c.count = 1) AS singletons, max(c.count) AS most, count(*) FILTER (c.label IS NOT NULL AND trim(coalesce(c.definition, '')) = '') AS undefined FROM c GROUP BY 1""",
     "concentration": """WITH c AS (SELECT codebook_id, unnest(codes) AS c FROM codebooks), r AS (SELECT codebook_id, coalesce(c.count, 0) AS n, row_number() OVER (PARTITION BY codebook_id ORDER BY coalesce(c.count, 0) DESC, c.label) AS r FROM c)
  SELECT codebook_id, round(sum(n) FILTER (r <= 2) / nullif(sum(n), 0)::DOUBLE, 9) AS top2, round(avg(CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS singleton_share FROM r GROUP BY 1""",

@@ -434,6 +434,25 @@ def kappa_pooled_all(spark: SparkSession, d: str) -> DataFrame:
     return agreement.pooled(_pairs(spark, d), F.col("wanted"), _PAIR).select(*_PAIR, "n", "both_yes", "neither", "only_a", "only_b", *[r9(c) for c in _KAPPA])
 
 
+@query
+def pooled_alpha_all(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.pooled_alpha(_pairs(spark, d), F.col("wanted"), _PAIR).select(*_PAIR, "pairable", r9("alpha"))
+
+
+@query
+def menu_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Names of records in a menu, told apart by their file."""
+    return longtable.menu_labels(_records(spark, d))
+
+
+@query
+def segment_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Segments by whether their text is the full one, the quote or missing, with the characters."""
+    s = longtable.segments_of(_records(spark, d)).select(longtable.segment_text(F.col("segment")).alias("t"), F.col("segment.full_text").alias("f"))
+    kind = F.when(F.col("t").isNull(), "none").when(F.trim("f") != "", "full").otherwise("quote")
+    return s.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars"))
+
+
 @query
 def exact_set_all(spark: SparkSession, d: str) -> DataFrame:
     return agreement.exact_set(_pairs(spark, d), _PAIR).select(*_PAIR, "n", r9("exact"))
