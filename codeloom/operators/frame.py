@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.arrays import sorted_set
 from codeloom.functions.text import drop_punctuation
-from codeloom.session import materialise
+from codeloom.session import materialise, small
 
 #: Least length of a contained text, stratum of units without codes, marks that count as ticked.
 LEAST, UNMARKED = 10, "__unmarked__"
+#: Characters up to which the texts of one key are all compared with each other (about a second of one task); keys with more find their candidates by grams.
+COMPARED = 1_000_000_000
 TICKED = ("1", "1.0", "v", "V", "✓", "✔", "x", "X", "y", "Y", "yes", "true", "True", "是", "有")
 
 
@@ -45,16 +47,40 @@ def contained(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     return texts.filter(F.contains("ot", F.col("it"))).select("i", "o").distinct()
 
 
-def locate_quotes(quotes: DataFrame, units: DataFrame, key: str = "respondent") -> DataFrame:
-    """(unit_id, quote_id, codes) of quotes and units of one key where one contains the other; see :func:`contained`.
+def large_keys(quotes: DataFrame, units: DataFrame, key: str) -> DataFrame:
+    """Keys whose quotes and units have more than COMPARED characters to compare, every quote with every unit: (key)."""
+    size = lambda df, c: df.groupBy(key).agg(F.count(c).cast("double").alias(f"n_{c}"), F.sum(F.length(c)).cast("double").alias(f"chars_{c}"))
+    both = size(quotes, "quote").join(size(units, "text"), key)
+    return both.filter(F.col("n_quote") * F.col("chars_text") + F.col("n_text") * F.col("chars_quote") > COMPARED).select(key)
+
+
+def located(quotes: DataFrame, units: DataFrame, key: str = "respondent") -> DataFrame:
+    """(unit_id, quote_id) of quotes and units of one key where one contains the other, once each.
 
-    Null texts and keys match nothing.
+    The texts of a key are compared directly, so they travel once; only keys with too many
+    for that (:func:`large_keys`) go through :func:`contained`. Both ways give the same
+    pairs. Null texts and keys match nothing.
     """
-    q = quotes.select(key, "quote_id", drop_punctuation(F.col("quote")).alias("t"))
-    u = units.select(key, "unit_id", drop_punctuation(F.col("text")).alias("t"))
-    a = contained(q.withColumnRenamed("quote_id", "i"), u.withColumnRenamed("unit_id", "o"), key).select(F.col("o").alias("unit_id"), F.col("i").alias("quote_id"))
-    b = contained(u.withColumnRenamed("unit_id", "i"), q.withColumnRenamed("quote_id", "o"), key).select(F.col("i").alias("unit_id"), F.col("o").alias("quote_id"))
-    return a.unionByName(b).distinct().join(quotes.select("quote_id", "codes"), "quote_id").select("unit_id", "quote_id", "codes")
+    q = quotes.select(key, "quote_id", "quote").filter(F.col(key).isNotNull() & F.col("quote").isNotNull())
+    u = units.select(key, "unit_id", "text").filter(F.col(key).isNotNull() & F.col("text").isNotNull())
+    large = materialise(large_keys(q, u, key), "large_keys")
+    some = not large.isEmpty()
+    large = small(large)
+    part = lambda df, how: df.join(large, key, how) if some else df
+    clean = lambda df, i, c: df.select(key, i, drop_punctuation(F.col(c)).alias(c))
+    pairs = clean(part(q, "left_anti"), "quote_id", "quote").join(clean(part(u, "left_anti"), "unit_id", "text"), key).filter(overlaps(F.col("text"), F.col("quote"))).select("unit_id", "quote_id")
+    if some:
+        ql, ul = materialise(clean(part(q, "left_semi"), "quote_id", "quote"), "large_quotes"), materialise(clean(part(u, "left_semi"), "unit_id", "text"), "large_units")
+        of = lambda df, i, c, name: df.select(key, F.col(i).alias(name), F.col(c).alias("t"))
+        a = contained(of(ql, "quote_id", "quote", "i"), of(ul, "unit_id", "text", "o"), key).select(F.col("o").alias("unit_id"), F.col("i").alias("quote_id"))
+        b = contained(of(ul, "unit_id", "text", "i"), of(ql, "quote_id", "quote", "o"), key).select(F.col("i").alias("unit_id"), F.col("o").alias("quote_id"))
+        pairs = pairs.unionByName(a).unionByName(b)
+    return pairs.distinct()
+
+
+def locate_quotes(quotes: DataFrame, units: DataFrame, key: str = "respondent") -> DataFrame:
+    """(unit_id, quote_id, codes) of quotes and units of one key where one contains the other; see :func:`located`."""
+    return located(quotes, units, key).join(quotes.select("quote_id", "codes"), "quote_id").select("unit_id", "quote_id", "codes")
 
 
 def build_frame(quotes: DataFrame, units: DataFrame, key: str = "respondent") -> DataFrame:

@@ -13,6 +13,7 @@ from codeloom.functions.arrays import sorted_set
 from codeloom.functions.labels import framework_rows
 from codeloom.operators import agreement, coding, cooccur, corpus, crosstab as ct, frame, lexicon, longtable, marks, migrate, openbook, review, themes
 from codeloom.plans import oracles
+from codeloom.session import materialise
 from codeloom.sources import export, files, hearing, nested
 from codeloom.streaming.review import action_counts
 
@@ -256,10 +257,12 @@ def quote_verify(spark: SparkSession, d: str) -> DataFrame:
 @query
 def quote_units(spark: SparkSession, d: str) -> DataFrame:
     """Quotes located in units of the same record (units: full texts)."""
-    seg = longtable.segments_of(_records(spark, d)).select(F.col("record_id").cast("string").alias("respondent"), F.concat_ws("#", "record_id", "seg_pos").alias("id"), F.col("segment.quote").alias("quote"), F.col("segment.full_text").alias("text"))
-    units = seg.select("respondent", F.col("id").alias("unit_id"), "text")
-    quotes = seg.select("respondent", F.col("id").alias("quote_id"), "quote", F.array().cast("array<string>").alias("codes"))
-    return frame.locate_quotes(quotes, units).select("unit_id", "quote_id")
+    # Only the two texts of a segment are read; one table serves as quotes and as units.
+    texts = F.arrays_zip(F.col("segments.quote").alias("quote"), F.col("segments.full_text").alias("text")).alias("texts")
+    r = longtable.first_rows(_t(spark, d, "records").select("record_id", "saved_at", "received_at", texts)).filter("record_id is not null")
+    seg = r.select("record_id", F.posexplode("texts").alias("seg_pos", "s")).select("record_id", F.concat_ws("#", "record_id", "seg_pos").alias("id"), "s.*")
+    seg = materialise(seg, "segment_texts")
+    return frame.located(seg.select("record_id", F.col("id").alias("quote_id"), "quote"), seg.select("record_id", F.col("id").alias("unit_id"), "text"), "record_id")
 
 
 def _segment_codes(spark: SparkSession, d: str) -> DataFrame:
